@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import knn, mixing, sentencepiece_codec, url_filter
+from kindred.llm import jaccard_join, knn, mixing, sentencepiece_codec, url_filter
 from kindred.llm.common import read
 
 
@@ -15,6 +15,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(read(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(read(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.manifest(read(spark, sf_dir, "documents"))
 
@@ -32,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.sql(), "op8_topk": knn.sql(), "op10_url_filter": url_filter.sql()}
+    return {"op4_ngram_jaccard_join": jaccard_join.sql(), "op7_mixing": mixing.sql(), "op8_topk": knn.sql(), "op10_url_filter": url_filter.sql()}
