@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import jaccard_join, knn, mixing, sentencepiece_codec, url_filter
+from kindred.llm import jaccard_join, knn, mixing, sentencepiece_codec, suffix_dedup, url_filter
 from kindred.llm.common import read
 
 
@@ -27,6 +27,10 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.knn_join(read(spark, sf_dir, "embeddings")).withColumn("distance", F.round("distance", 6))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(read(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_hits(read(spark, sf_dir, "pages"))
 
@@ -36,4 +40,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard_join": jaccard_join.sql(), "op7_mixing": mixing.sql(), "op8_topk": knn.sql(), "op10_url_filter": url_filter.sql()}
+    return {"op4_ngram_jaccard_join": jaccard_join.sql(), "op7_mixing": mixing.sql(), "op8_topk": knn.sql(), "op9_suffix_array_dedup": suffix_dedup.sql(), "op10_url_filter": url_filter.sql()}
