@@ -82,14 +82,14 @@ def cuts(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: flo
     return goal.join(within, "s", "left").select("s", "epochs", "cut")
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = ALPHA, total: int | None = None, seed: str = SEED) -> DataFrame:
-    """The documents of the mixture with their columns and mix_epoch (from 0): a document stands once for each epoch that takes it."""
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = ALPHA, total: int | None = None, seed: str = SEED, epoch: str | None = "mix_epoch") -> DataFrame:
+    """The documents of the mixture with their columns and the epoch (from 0), if it is to have a name: a document stands once for each epoch that takes it."""
     at = durable(cuts(docs, weights, alpha, total, seed))
     s = F.coalesce(F.col("source").cast("string"), F.lit(NONE))
     columns = docs.columns
     out = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_d"), s.alias("_s"), F.col("doc_id").alias("_id")).join(small(at.withColumnRenamed("s", "_s")), "_s")
     n = F.col("epochs") + F.when(F.col("cut").isNotNull() & (key(F.col("_id"), F.col("epochs"), seed) <= F.col("cut")), 1).otherwise(0)
-    return out.withColumn("_n", n.cast("int")).where("_n > 0").select("_d", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("mix_epoch")).select(*(F.col("_d")[c].alias(c) for c in columns), "mix_epoch")
+    return out.withColumn("_n", n.cast("int")).where("_n > 0").select("_d", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_e")).select(*(F.col("_d")[c].alias(c) for c in columns), *([F.col("_e").alias(epoch)] if epoch else []))
 
 
 def manifest(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = ALPHA, total: int | None = None, seed: str = SEED) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import jaccard_join, knn, mixing, sentencepiece_codec, suffix_dedup, url_filter
+from kindred.llm import jaccard_join, knn, mixing, quality_rules, sentencepiece_codec, suffix_dedup, url_filter
 from kindred.llm.common import read
 
 
@@ -19,6 +19,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.groups(read(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(read(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.manifest(read(spark, sf_dir, "documents"))
 
