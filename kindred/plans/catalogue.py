@@ -1,15 +1,396 @@
-"""The engine's queries by name, and their DuckDB twins."""
+"""The engine's queries by name over the driver's tables, each beside its DuckDB twin."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kindred.functions import similarity, text
+from kindred.operators import cluster, context, detect, impact, merge, resolve, verdict
+from kindred.plans import duck, reports
+from kindred.spec import CUSTOMER, NATION, PART, SUPPLIER, EntitySpec, short_numerals
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _pairs(spark: SparkSession, d: str, spec: EntitySpec, **kw) -> DataFrame:
+    return detect.similar_pairs(detect.records(table(spark, d, spec.table), spec), spec, **kw)
+
+
+def _part(**kw) -> str:
+    return duck.pairs("part", "p_partkey", "p_name", "p_brand", **kw)
+
+
+_TOP = "SELECT * FROM p ORDER BY score DESC, id_a, id_b LIMIT 200"
+
+# Pairs ---------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_part()} {_TOP}")
+def pair_part_trigram_topk(spark, d):
+    return _pairs(spark, d, PART, limit=200)
+
+
+@query(f"WITH {_part()} SELECT * FROM p")
+def pair_part_all(spark, d):
+    return _pairs(spark, d, PART)
+
+
+_DISTRICT = EntitySpec("part", "part", 2, "p_partkey", "p_name", "p_brand", None, (text.unaccent_lower, text.clean_district))
+_CONDO = EntitySpec("part", "part", 4, "p_partkey", "p_name", "p_brand", None, (text.unaccent_lower, text.clean_condo, short_numerals))
+_PLACED = "CASE p_partkey % 4 WHEN 0 THEN 'Jardim ' WHEN 1 THEN 'Edifício ' WHEN 2 THEN 'Jd ' ELSE '' END || p_name || CASE p_partkey % 3 WHEN 0 THEN ' II' WHEN 1 THEN ' (2)' ELSE ' dois' END"
+
+
+def _placed(spark, d) -> DataFrame:
+    """Parts with prefixes and numerals such as place names have."""
+    return table(spark, d, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("id"), F.expr(_PLACED).alias("name"), F.col("p_brand").alias("block"))
+
+
+_PLACED_SQL = f"SELECT p_partkey AS id, {_PLACED} AS name, p_brand AS block, p_brand AS parent FROM part WHERE p_partkey % 5 = 0"
+
+
+@query(f"WITH {duck.pairs('', '', '', '', (duck.fold0('name'), duck.district('name')), source=_PLACED_SQL)} SELECT * FROM p")
+def pair_part_variant_greatest(spark, d):
+    return detect.similar_pairs(_placed(spark, d), _DISTRICT)
+
+
+@query(f"WITH {duck.pairs('', '', '', '', (duck.fold0('name'), duck.condo('name'), duck.numerals(duck.condo('name'), text.SHORT_NUMERALS)), source=_PLACED_SQL)} SELECT * FROM p")
+def pair_part_numeral_variant(spark, d):
+    return detect.similar_pairs(_placed(spark, d), _CONDO)
+
+
+@query(f"WITH {duck.pairs('customer', 'c_custkey', 'c_name', 'c_nationkey', threshold=0.8)} SELECT * FROM p")
+def pair_customer_by_nation(spark, d):
+    return _pairs(spark, d, CUSTOMER, threshold=0.8)
+
+
+@query(f"WITH {duck.pairs('supplier', 's_suppkey', 's_name', 's_nationkey')} SELECT * FROM p")
+def pair_supplier_by_nation(spark, d):
+    return _pairs(spark, d, SUPPLIER)
+
+
+@query(f"WITH {duck.pairs('nation', 'n_nationkey', 'n_name', 'n_regionkey')} SELECT * FROM p")
+def pair_nation_by_region(spark, d):
+    return _pairs(spark, d, NATION)
+
+
+_CHAIN = "SELECT c_custkey AS id, c_name AS name, c_nationkey AS block, r_regionkey AS parent FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_custkey % 3 = 0"
+
+
+@query(f"WITH {duck.pairs('', '', '', '', threshold=0.8, source=_CHAIN)} SELECT * FROM p")
+def pair_chain_block(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("n_nationkey").alias("block"), F.col("r_regionkey").alias("parent"))
+    rows = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("block")).join(n, "block")
+    return detect.similar_pairs(rows, CUSTOMER, 0.8)
+
+
+@query(f"WITH {_part(where="x.parent = 'Brand#11'")} SELECT * FROM p")
+def pair_parent_filtered(spark, d):
+    return _pairs(spark, d, PART, parent="Brand#11")
+
+
+_DOCS = "SELECT doc_id AS id, substr(text, 1, 60) AS name, lang || '/' || source AS block, lang || '/' || source AS parent FROM documents"
+
+
+@query(f"WITH {duck.pairs('', '', '', '', source=_DOCS)} SELECT * FROM p")
+def pair_documents_trigram(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("name"), F.concat_ws("/", "lang", "source").alias("block"))
+    return detect.similar_pairs(rows, PART)
+
+
+@query(f"WITH {_part()} SELECT p.* FROM p WHERE NOT (id_a % 3 = 0 AND id_b % 3 = 0)")
+def pair_exclude_grouped(spark, d):
+    grouped = table(spark, d, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"))
+    return detect.without_grouped(_pairs(spark, d, PART), grouped)
+
+
+# Text ----------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {duck.fold('text')} AS folded, {duck.fold0('substr(text, 1, 40)')} AS lowered, replace({duck.fold('substr(text, 1, 40)')}, ' ', '-') AS cache_key FROM documents")
+def text_fold(spark, d):
+    head = F.substring("text", 1, 40)
+    return table(spark, d, "documents").select("doc_id", text.fold(F.col("text")).alias("folded"), text.unaccent_lower(head).alias("lowered"), text.cache_key(head).alias("cache_key"))
+
+
+@query(f"SELECT id, {duck.loop(duck.fold('name'), text.PREFIXES[text.DISTRICT])} AS stripped FROM ({_PLACED_SQL})")
+def text_strip_prefix_loop(spark, d):
+    return _placed(spark, d).select("id", text.strip_prefixes(text.fold(F.col("name")), text.PREFIXES[text.DISTRICT]).alias("stripped"))
+
+
+@query(f"SELECT id, {duck.district('name')} AS district, {duck.condo('name')} AS condo FROM ({_PLACED_SQL})")
+def text_strip_prefix_once(spark, d):
+    return _placed(spark, d).select("id", text.clean_district(F.col("name")).alias("district"), text.clean_condo(F.col("name")).alias("condo"))
+
+
+@query(f"SELECT id, {duck.numerals('name', text.NUMERALS)} AS long_map, {duck.numerals('name', text.SHORT_NUMERALS)} AS short_map, {duck.collapse(duck.numerals(duck.loop(duck.fold('name'), text.PREFIXES[text.CONDO]), text.NUMERALS))} AS normalised FROM ({_PLACED_SQL})")
+def text_numeral_map(spark, d):
+    n = F.col("name")
+    return _placed(spark, d).select("id", text.numerals(n).alias("long_map"), text.numerals(n, text.SHORT_NUMERALS).alias("short_map"), text.normalise(n, text.CONDO).alias("normalised"))
+
+
+@query("SELECT c_custkey, regexp_replace(c_name, '\\D', '', 'g') AS digits, CASE WHEN length(regexp_replace(substr(c_name, 11), '\\D', '', 'g')) = 8 THEN substr(c_name, 11) END AS code FROM customer")
+def text_digits_only_valid(spark, d):
+    return table(spark, d, "customer").select("c_custkey", text.digits(F.col("c_name")).alias("digits"), text.postal_code(F.substring("c_name", 11, 99)).alias("code"))
+
+
+@query("SELECT c_custkey, concat_ws(', ', nullif(c_mktsegment, ''), nullif(CASE WHEN c_custkey % 2 = 0 THEN '' ELSE n_name END, ''), nullif(c_name, '')) AS address FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def text_concat_nonempty(spark, d):
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return c.select("c_custkey", text.join_parts(F.col("c_mktsegment"), F.when(F.col("c_custkey") % 2 == 0, F.lit("")).otherwise(F.col("n_name")), F.col("c_name")).alias("address"))
+
+
+@query("SELECT event_id, greatest(0.0, least(1.0, value / 100)) AS clamped, floor(value / 100 * 100 + 0.5) / 100 AS rounded FROM events")
+def text_clamp_round(spark, d):
+    v = F.col("value") / 100
+    return table(spark, d, "events").select("event_id", text.clamp01(v.cast("string")).alias("clamped"), text.round2(v).alias("rounded"))
+
+
+@query("""SELECT event_id, props AS object FROM events""")
+def text_first_object(spark, d):
+    wrapped = F.concat(F.lit("Answer: ```json\n"), F.col("props"), F.lit("\n``` done"))
+    return table(spark, d, "events").select("event_id", text.first_object(wrapped).alias("object"))
+
+
+# Similarity, best match, vote ----------------------------------------------------------------------------------------
+
+
+@query(f"WITH n AS (SELECT DISTINCT p_name AS name, p_brand AS block FROM part) SELECT a.block, a.name AS n1, b.name AS n2, {duck.dice(duck.fold('a.name'), duck.fold('b.name'))} AS dice FROM n AS a JOIN n AS b ON a.block = b.block AND a.name < b.name")
+def sim_dice_pairs(spark, d):
+    n = table(spark, d, "part").select(F.col("p_brand").alias("block"), F.col("p_name").alias("name")).distinct().withColumn("f", text.fold(F.col("name")))
+    a, b = n.select("block", F.col("name").alias("n1"), F.col("f").alias("f1")), n.select("block", F.col("name").alias("n2"), F.col("f").alias("f2"))
+    return a.join(b, "block").where("n1 < n2").select("block", "n1", "n2", similarity.dice(F.col("f1"), F.col("f2")).alias("dice"))
+
+
+@query(f"SELECT p_partkey, {duck.jac(duck.tri('lower(p_name)'), duck.tri('lower(p_type)'))} AS score FROM part")
+def sim_trigram_value(spark, d):
+    return table(spark, d, "part").select("p_partkey", similarity.similarity(F.lower("p_name"), F.lower("p_type")).alias("score"))
+
+
+@query(f"""WITH s AS (SELECT s_suppkey AS key, s_nationkey AS b, {duck.fold('s_name')} AS f1 FROM supplier), c AS (SELECT c_custkey AS best, c_nationkey AS b, c_name AS best_name, {duck.fold('c_name')} AS f2 FROM customer),
+x AS (SELECT key, best, best_name, {duck.dice('f1', 'f2')} AS score FROM s JOIN c USING (b)), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, best) AS rn FROM x)
+SELECT key, best, best_name, score FROM r WHERE rn = 1""")
+def best_match_argmax(spark, d):
+    return resolve.best_match(table(spark, d, "supplier").withColumnRenamed("s_nationkey", "b"), table(spark, d, "customer").withColumnRenamed("c_nationkey", "b"), "b", "s_suppkey", "s_name", "c_custkey", "c_name")
+
+
+@query("""WITH v AS (SELECT l_suppkey AS supp, p_brand AS value, l_orderkey * 10 + l_linenumber AS pos FROM lineitem JOIN part ON p_partkey = l_partkey), c AS (SELECT supp, value, count(*) AS n, min(pos) AS first FROM v GROUP BY ALL)
+SELECT supp, arg_max(value, struct_pack(n := n, p := -first)) AS winner, max(n) / CAST(sum(n) AS DOUBLE) AS share FROM c GROUP BY supp""")
+def vote_majority_share(spark, d):
+    v = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    return resolve.majority(v.select(F.col("l_suppkey").alias("supp"), F.col("p_brand").alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos")), "supp", "value", "pos")
+
+
+# Clusters ------------------------------------------------------------------------------------------------------------
+
+_CLUSTER = f"WITH RECURSIVE {_part(threshold=0.7)}, {duck.components('p')}"
+
+
+def _part_pairs(spark, d) -> DataFrame:
+    return _pairs(spark, d, PART, threshold=0.7)
+
+
+@query(f"{_CLUSTER} SELECT node, root FROM c")
+def cluster_components(spark, d):
+    return cluster.components(_part_pairs(spark, d), "id_a", "id_b")
+
+
+_GROUPS = f"""{_CLUSTER}, ranked AS (SELECT p.*, c.root, row_number() OVER (ORDER BY score DESC, id_a, id_b) AS rk FROM p JOIN c ON c.node = p.id_a),
+ends AS (SELECT root, id_a AS id, name_a AS name, rk * 2 AS at_ FROM ranked UNION ALL SELECT root, id_b, name_b, rk * 2 + 1 FROM ranked),
+mem AS (SELECT root, id, arg_min(name, at_) AS name, min(at_) AS at_ FROM ends GROUP BY root, id),
+grp AS (SELECT root, arg_max(parent_id, rk) AS parent_id, CAST(floor(avg(score) * 100 + 0.5) / 100 AS DECIMAL(3,2)) AS score_medio, count(*) AS n_pairs FROM ranked GROUP BY root)"""
+
+
+@query(f"""{_GROUPS} SELECT root, CAST(3 AS SMALLINT) AS tipo_entidade, parent_id, arg_min(name, at_) AS nome_normalizado, list(id ORDER BY at_) AS registro_ids, list(name ORDER BY at_) AS nomes_membros, score_medio, n_pairs
+FROM grp JOIN mem USING (root) GROUP BY root, parent_id, score_medio, n_pairs""")
+def cluster_groups(spark, d):
+    return cluster.groups(_part_pairs(spark, d), 3)
+
+
+@query(f"""{_GROUPS}, names AS (SELECT root, arg_min(name, at_) AS official FROM mem GROUP BY root), s AS (SELECT mem.root AS group_id, id AS member_id, {duck.dice(duck.fold("reverse(name)"), duck.fold("official"))} AS score, at_ FROM mem JOIN names USING (root))
+SELECT group_id, member_id, score FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, at_) AS rn FROM s) WHERE rn = 1""")
+def canonical_suggestion(spark, d):
+    g = cluster.groups(_part_pairs(spark, d), 3).select(F.col("root").alias("group_id"), "registro_ids", "nomes_membros", "nome_normalizado")
+    members = g.select("group_id", F.posexplode(F.arrays_zip("registro_ids", "nomes_membros")).alias("pos", "m")).select("group_id", "pos", F.col("m.registro_ids").alias("id"), F.reverse("m.nomes_membros").alias("name"))
+    return resolve.suggested(members, g.select("group_id", resolve.official(F.col("nome_normalizado"), "x", F.lit(1.0)).alias("official")))
+
+
+# Impact --------------------------------------------------------------------------------------------------------------
+
+
+@query("WITH n AS (SELECT l_partkey AS id, count(*) AS total FROM lineitem GROUP BY 1) SELECT p_partkey AS id, 'lineitem.l_partkey' AS ref, coalesce(total, 0) AS total FROM part LEFT JOIN n ON n.id = p_partkey")
+def impact_per_member(spark, d):
+    return impact.counts(table(spark, d, "part").select(F.col("p_partkey").alias("id")), PART.refs, {"lineitem": table(spark, d, "lineitem")})
+
+
+@query("""WITH c AS (SELECT c_nationkey AS id, count(*) AS n FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS id, count(*) AS n FROM supplier GROUP BY 1),
+m AS (SELECT n_regionkey AS group_id, n_nationkey AS id, n_name AS name, coalesce(c.n, 0) + coalesce(s.n, 0) AS total FROM nation LEFT JOIN c ON c.id = n_nationkey LEFT JOIN s ON s.id = n_nationkey)
+SELECT group_id, string_agg(id || ':' || name || '=' || total, ';' ORDER BY total DESC, id) AS members FROM m GROUP BY group_id""")
+def impact_map_ranked(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("group_id"), F.col("n_nationkey").alias("pos"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    out = impact.ranked(impact.per_member(n, NATION.refs, {"customer": table(spark, d, "customer"), "supplier": table(spark, d, "supplier")}))
+    return out.select("group_id", F.array_join(F.transform("members", lambda m: F.concat(m["id"].cast("string"), F.lit(":"), m["name"], F.lit("="), m["total"].cast("string"))), ";").alias("members"))
+
+
+@query("""WITH c AS (SELECT c_nationkey AS id, count(*) AS n FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS id, count(*) AS n FROM supplier GROUP BY 1)
+SELECT n_nationkey AS id, 'customer.c_nationkey=' || coalesce(c.n, 0) || ';supplier.s_nationkey=' || coalesce(s.n, 0) AS impact, coalesce(c.n, 0) + coalesce(s.n, 0) AS total FROM nation LEFT JOIN c ON c.id = n_nationkey LEFT JOIN s ON s.id = n_nationkey""")
+def impact_map(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("group_id"), F.col("n_nationkey").alias("pos"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    out = impact.per_member(n, NATION.refs, {"customer": table(spark, d, "customer"), "supplier": table(spark, d, "supplier")})
+    return out.select("id", F.array_join(F.transform(F.map_entries("impact"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";").alias("impact"), "total")
+
+
+# Merge ---------------------------------------------------------------------------------------------------------------
+# Parts with equal brand and name are groups; the least key survives.
+
+_MAP = "m AS (SELECT grp AS grupo_id, p_partkey AS old, grp AS new FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_name) AS grp FROM part) WHERE p_partkey <> grp)"
+
+
+def _part_groups(spark, d) -> DataFrame:
+    g = table(spark, d, "part").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("id"), F.sort_array(F.collect_list("p_partkey")).alias("registro_ids"))
+    return g.where(F.size("registro_ids") >= 2).select("id", "registro_ids", F.col("id").alias("registro_canonico_id"))
+
+
+def _part_map(spark, d) -> DataFrame:
+    return merge.mapping(_part_groups(spark, d))
+
+
+@query(f"WITH {_MAP} SELECT * FROM m")
+def merge_mapping(spark, d):
+    return _part_map(spark, d)
+
+
+_LOG = f"{_MAP}, log AS (SELECT grupo_id, CAST(old AS VARCHAR) AS registro_eliminado_id, 'lineitem' AS tabela_afetada, l_orderkey || '|' || l_linenumber AS registro_afetado_id, 'l_partkey' AS coluna_alterada, CAST(old AS VARCHAR) AS valor_anterior, CAST(new AS VARCHAR) AS valor_novo, false AS revertido FROM lineitem JOIN m ON m.old = l_partkey)"
+
+
+@query(f"WITH {_LOG} SELECT * FROM log")
+def merge_log_rows(spark, d):
+    return merge.log(PART, {"lineitem": table(spark, d, "lineitem")}, _part_map(spark, d))
+
+
+@query(f"WITH {_MAP} SELECT l_orderkey, l_linenumber, coalesce(m.new, l_partkey) AS l_partkey, l_quantity FROM lineitem LEFT JOIN m ON m.old = l_partkey")
+def merge_fk_rewritten(spark, d):
+    return merge.redirect(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), "l_partkey", _part_map(spark, d))
+
+
+@query(f"WITH {_MAP} SELECT p_partkey, p_name, p_partkey IN (SELECT old FROM m) AS excluido FROM part")
+def merge_soft_delete(spark, d):
+    return merge.soft_delete(table(spark, d, "part").select("p_partkey", "p_name"), PART, _part_map(spark, d))
+
+
+@query(f"WITH {_MAP}, g AS (SELECT DISTINCT new FROM m) SELECT p_partkey, CASE WHEN g.new IS NOT NULL THEN upper(p_name) ELSE p_name END AS p_name, g.new IS NOT NULL AS renamed FROM part LEFT JOIN g ON g.new = p_partkey")
+def merge_rename(spark, d):
+    part = table(spark, d, "part").select("p_partkey", "p_name")
+    names = _part_groups(spark, d).join(part, F.col("id") == F.col("p_partkey")).select(F.col("id").alias("grupo_id"), "id", F.upper("p_name").alias("name"))
+    new, before = merge.rename(part, PART, names)
+    hit = before.select(F.col("registro_afetado_id").cast("long").alias("_k"))
+    return new.join(hit, F.col("p_partkey") == F.col("_k"), "left").select("p_partkey", "p_name", F.col("_k").isNotNull().alias("renamed"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders")
+def merge_revert_roundtrip(spark, d):
+    child = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    g = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("id"), F.collect_list("c_custkey").alias("registro_ids"))
+    pairs = merge.mapping(g.withColumn("registro_canonico_id", F.col("id")))
+    return merge.restore(merge.redirect(child, "o_custkey", pairs), CUSTOMER.refs[0], merge.log(CUSTOMER, {"orders": child}, pairs))
+
+
+@query(f"WITH {_LOG} SELECT grupo_id, registro_afetado_id, grupo_id % 2 = 0 AS revertido FROM log")
+def merge_log_reverted(spark, d):
+    rows = merge.log(PART, {"lineitem": table(spark, d, "lineitem")}, _part_map(spark, d))
+    even = _part_groups(spark, d).where("id % 2 = 0").select(F.col("id").alias("grupo_id"))
+    return merge.mark_reverted(rows, even).select("grupo_id", "registro_afetado_id", "revertido")
+
+
+@query(f"WITH {_LOG} SELECT grupo_id, CAST(count(*) AS INTEGER) AS total_registros_afetados FROM log GROUP BY grupo_id")
+def merge_affected(spark, d):
+    return merge.affected(merge.log(PART, {"lineitem": table(spark, d, "lineitem")}, _part_map(spark, d)))
+
+
+# Verdicts ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, coalesce(json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST(props ->> '$.k' AS DOUBLE) >= 50, false) AS big FROM events")
+def json_predicate(spark, d):
+    return table(spark, d, "events").select("event_id", F.coalesce(F.from_json("props", "k double")["k"] >= 50, F.lit(False)).alias("big"))
+
+
+@query("""WITH g AS (SELECT p_brand, p_name, min(p_partkey) AS id, list(p_partkey ORDER BY p_partkey) AS ids FROM part GROUP BY ALL HAVING count(*) >= 2)
+SELECT id, 'Are these names of type part one place or several?' || chr(10) || 'Contexto geográfico: ' || 'Cidade: ' || p_brand || chr(10) || list_aggregate(list_transform(ids, lambda x, i: '  ' || i || '. "' || p_name || '" (ID: ' || x || ')'), 'string_agg', chr(10)) || chr(10) || '""" + "' || chr(10) || '".join(verdict.RULES) + """' AS prompt FROM g""")
+def prompt_text(spark, d):
+    g = table(spark, d, "part").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("id"), F.sort_array(F.collect_list("p_partkey")).alias("ids")).where(F.size("ids") >= 2)
+    none = F.lit(None).cast("string")
+    return g.select("id", verdict.prompt(F.lit("part"), F.array_repeat(F.col("p_name"), F.size("ids")), F.col("ids"), verdict.context_text(none, none, F.col("p_brand"), none)).alias("prompt"))
+
+
+@query("SELECT p_partkey, (row_number() OVER (ORDER BY p_partkey) - 1) // 10 AS batch_id, CAST((row_number() OVER (ORDER BY p_partkey) - 1) % 10 + 1 AS INTEGER) AS n FROM part")
+def batch_ids(spark, d):
+    return verdict.batches(table(spark, d, "part").select("p_partkey"), "p_partkey")
+
+
+_ANSWER = """'{"sao_duplicatas": ' || CASE o_orderkey % 4 WHEN 0 THEN 'false' WHEN 1 THEN '"true"' ELSE 'true' END || ', "confianca": ' || CASE o_orderkey % 3 WHEN 0 THEN '"0.9"' ELSE '0.' || (o_orderkey % 10) END || ', "nome_canonico": "N' || o_custkey || '", "membros_validos_ids": ["' || o_orderkey || '", "x"]' || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE '}' END"""
+
+
+@query(f"""WITH a AS (SELECT o_orderkey, o_custkey, {_ANSWER} AS content FROM orders)
+SELECT o_orderkey, o_orderkey % 7 <> 0 AND o_orderkey % 4 NOT IN (0, 1) AS dup, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 3 = 0 THEN 0.0 ELSE (o_orderkey % 10) / 10.0 END AS confidence,
+CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'N' || o_custkey END AS name, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS valid_ids FROM a""")
+def verdict_parse(spark, d):
+    a = table(spark, d, "orders").select("o_orderkey", F.expr(_ANSWER).alias("content"))
+    v = verdict.parse_single(F.col("content"), F.array(F.col("o_orderkey").cast("string"), F.lit("y")))
+    return a.withColumn("v", v).select("o_orderkey", F.col("v.dup").alias("dup"), F.col("v.confidence").alias("confidence"), F.col("v.name").alias("name"), F.array_join("v.valid_ids", ",").alias("valid_ids"))
+
+
+# Context -------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, c_name, n_name, r_name, concat_ws(', ', 'Bairro: ' || n_name, 'Estado: ' || r_name) AS where_ FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
+def context_chain(spark, d):
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    none = F.lit(None).cast("string")
+    return c.select("c_custkey", "c_name", "n_name", "r_name", verdict.context_text(none, F.col("n_name"), none, F.col("r_name")).alias("where_"))
+
+
+@query("SELECT n_nationkey, n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS total FROM nation")
+def context_child_count(spark, d):
+    return context.child_counts(table(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey", table(spark, d, "customer"), "c_nationkey", "total")
+
+
+@query("""WITH s AS (SELECT l_partkey AS part, arg_min(s_name, l_orderkey * 10 + l_linenumber) AS name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_suppkey % 3 = 0 GROUP BY 1)
+SELECT p_partkey AS group_id, coalesce(s.name, CASE WHEN p_size > 25 THEN p_type END) AS name, CASE WHEN s.name IS NOT NULL THEN 'viacep' WHEN p_size > 25 THEN 'google' END AS source FROM part LEFT JOIN s ON s.part = p_partkey""")
+def cascade_coalesce(spark, d):
+    l = table(spark, d, "lineitem").where("l_suppkey % 3 = 0").join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))  # noqa: E741
+    first = l.groupBy(F.col("l_partkey").alias("group_id")).agg(F.min_by("s_name", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("n")).select("group_id", resolve.official(F.col("n"), "viacep", F.lit(1.0)).alias("official"))
+    part = table(spark, d, "part")
+    second = part.where("p_size > 25").select(F.col("p_partkey").alias("group_id"), resolve.official(F.col("p_type"), "google", F.lit(0.8)).alias("official"))
+    return resolve.cascade(part.select(F.col("p_partkey").alias("group_id")), first, second).select("group_id", F.col("official.name").alias("name"), F.col("official.source").alias("source"))
+
+
+for _name, (_query, _sql) in reports.catalogue().items():
+    _QUERIES[_name] = _query
+    _SQL[_name] = _sql
