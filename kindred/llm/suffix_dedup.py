@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from kindred.llm.common import NONSPACE, _power, durable, mix, shuffle_partitions, slices, small
 
 K = 50
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 _STEP = 0xC2B2AE3D27D4EB4F
 _BACK = pow(_STEP, -1, 1 << 64)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -208,22 +208,20 @@ def _merge(k: int):
         if len(pdf) and pdf["part"].iloc[0] < 0:
             d, s, e = (np.concatenate([np.frombuffer(b, kind) for b in pdf[c]]) for c, kind in (("docs", np.int64), ("starts", np.int32), ("sizes", np.int32)))
             return pd.DataFrame({"doc_id": d, "first": s, "upto": e})
-        shards = []
-        for row in pdf.itertuples():
-            m = np.frombuffer(row.sizes, np.int32)
-            doc = np.repeat(np.frombuffer(row.docs, np.int64), m)
-            place = np.repeat(np.frombuffer(row.starts, np.int32), m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            shards.append((np.frombuffer(row.prints, np.uint64), doc, place))
-        every = np.sort(np.concatenate([s[0] for s in shards]))
-        known = every[1:][every[1:] == every[:-1]]
-        known = known[np.concatenate([[True], known[1:] != known[:-1]])] if len(known) else known
+        every = np.sort(np.frombuffer(b"".join(pdf["prints"]), np.uint64))
+        known = np.unique(every[1:][every[1:] == every[:-1]])
+        del every
         out = []
         if len(known):
             hits = []
-            for fp, doc, place in shards:
+            for docs, starts, sizes, prints in zip(pdf["docs"], pdf["starts"], pdf["sizes"], pdf["prints"]):
+                fp = np.frombuffer(prints, np.uint64)
                 k_at = np.minimum(np.searchsorted(known, fp), len(known) - 1)
-                there = known[k_at] == fp
-                hits.append((k_at[there], doc[there], place[there]))
+                there = np.flatnonzero(known[k_at] == fp)
+                upto = np.cumsum(np.frombuffer(sizes, np.int32))
+                run = np.searchsorted(upto, there, "right")
+                step = there - np.concatenate([[0], upto])[run]
+                hits.append((k_at[there], np.frombuffer(docs, np.int64)[run], np.frombuffer(starts, np.int32)[run] + step))
             g, doc, place = (np.concatenate(x) for x in zip(*hits))
             by = np.lexsort((place, doc, g))
             g, doc, place = g[by], doc[by], place[by]
