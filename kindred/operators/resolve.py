@@ -61,7 +61,10 @@ def street_name(member_ceps: DataFrame, ceps: DataFrame) -> DataFrame:
 
 def component(parts: Column, *types: str) -> Column:
     """long_name of the first address component of the first type that occurs."""
-    return F.coalesce(*(F.get(F.filter(parts, lambda c, t=t: F.array_contains(c["types"], t)), F.lit(0))["long_name"] for t in types))
+    def first(t: str) -> Column:
+        return F.get(F.filter(parts, lambda c: F.array_contains(c["types"], t)), F.lit(0))["long_name"]
+
+    return F.coalesce(*map(first, types))
 
 
 _PARTS = {1: ("administrative_area_level_2", "locality"), 2: ("sublocality_level_1", "sublocality", "neighborhood"), 3: ("route",), 4: ("premise", "point_of_interest", "establishment")}
