@@ -205,8 +205,8 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, chunk: int
 
 def without_copies(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """docs with one document of each group; rows without a doc_id or without partners stay."""
-    gone = durable(groups(docs, threshold, n).where("doc_id <> group_id").select(F.col("doc_id").alias("_gone")))
-    return docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = small(durable(groups(docs, threshold, n).where("doc_id <> group_id").select(F.col("doc_id").alias("gone"))))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
 
 
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

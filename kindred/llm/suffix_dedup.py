@@ -266,7 +266,8 @@ def _cut(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_text = names.index("text")
         for batch in batches:
-            text, firsts, uptos = batch.column(at_text), batch.column(len(names)), batch.column(len(names) + 1)
+            columns, firsts, uptos = batch.column(0).flatten(), batch.column(1), batch.column(2)
+            text = columns[at_text]
             touched = np.flatnonzero(firsts.is_valid().to_numpy(zero_copy_only=False))
             keep, values = np.ones(batch.num_rows, bool), None
             if len(touched):
@@ -284,7 +285,7 @@ def _cut(names: list[str]):
                         keep[touched[i]] = bool(new.strip())
                         values[touched[i]] = new.decode()
             new = text if values is None else pa.array(values, pa.string())
-            out = pa.RecordBatch.from_arrays([new if i == at_text else batch.column(i) for i in range(len(names))], names=names)
+            out = pa.RecordBatch.from_arrays([new if i == at_text else c for i, c in enumerate(columns)], names=names)
             yield out if keep.all() else out.filter(pa.array(keep))
 
     return run
@@ -296,7 +297,7 @@ def without_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     names = docs.columns
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("d"))
     out = whole.join(spans, F.col("d.doc_id").cast("long") == spans["doc_id"], "left")
-    out = out.select(*(F.col("d")[c].alias(c) for c in names), "firsts", "uptos").mapInArrow(_cut(names), docs.schema)
+    out = out.select("d", "firsts", "uptos").mapInArrow(_cut(names), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

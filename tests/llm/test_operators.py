@@ -1,0 +1,403 @@
+"""Each operator against a brute-force version, and its edge cases: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tests_llm_brute import brute_groups, brute_mix, brute_repeats
+
+from kindred.llm import html_extract, jaccard_join, knn, mixing, quality_crf, quality_rules, sentencepiece_codec, suffix_dedup, toxicity, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+CLASH = ("d", "l", "s", "x", "g", "mean", "inv", "_d", "_s", "_n", "_e", "_id", "k", "firsts", "uptos", "_gone", "sig", "pivot", "mix_epoch", "n_words")
+
+
+def words(rng, n, vocabulary=4000):
+    return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+
+
+def corpus(seed=1):
+    """Unrelated documents, exact and near copies, shared passages, and every odd case."""
+    rng = random.Random(seed)
+    base = [words(rng, rng.randrange(60, 160)) for _ in range(40)]
+    passage = words(rng, 70)
+    rows = [" ".join(b) for b in base]
+    for k in range(8):
+        near = list(base[k])
+        near[rng.randrange(len(near))] = "edited"
+        rows += [" ".join(base[k]), " ".join(near)]
+    for k in range(20, 26):
+        rows.append(" ".join([*base[k][:50], *passage, *words(rng, 30)]))
+    rows += ["", None, "one", "one", "  \n ", " ".join(words(rng, 30_000))]
+    return [(k, t, "en", f"s{k % 3}", None if t is None else len(t)) for k, t in enumerate(rows)] + [(None, "no id here", None, None, 10), (0, rows[0], "en", "s0", len(rows[0]))]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), DOCS).repartition(3).cache()
+
+
+def clashing(df):
+    return df.withColumns({c: F.lit("clash") for c in CLASH})
+
+
+def rows_of(df):
+    return sorted(map(str, (tuple(r) for r in df.collect())))
+
+
+# SentencePiece
+
+
+def test_sentencepiece_equals_the_library(spark):
+    rng = random.Random(3)
+    texts = ["a  b", " a", "a ", "  ", " ", "", None, "▁x y", "x▁", "ﬁ ① z", "<s>hi</s>", "a \n b", "\x00a\r\n", "é̂ ñ", "日本 語", *(" ".join(words(rng, 50)) for _ in range(20)), " ".join(words(rng, 20_000))]
+    df = clashing(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    model = sentencepiece_codec.load(sentencepiece_codec.MODEL)
+    enc = sentencepiece_codec.encode(df).cache()
+    for r in enc.collect():
+        t = texts[r["doc_id"]]
+        assert r["ids"] == (None if t is None else model.encode(t))
+        assert r["n_tokens"] == (None if t is None else len(r["ids"]))
+        assert r["round_trip"] == (None if t is None else "▁" not in t)
+    for r in sentencepiece_codec.decode(enc).collect():
+        t = texts[r["doc_id"]]
+        assert r["text"] == (None if t is None else t.replace("▁", " "))
+    assert sentencepiece_codec.encode(df.limit(0)).count() == 0
+
+
+# Mixing
+
+
+def test_mixing_equals_brute_force(spark, docs):
+    assert Counter(tuple(r) for r in mixing.manifest(docs).collect()) == brute_mix(corpus())
+    mixed = mixing.mix(clashing(docs), epoch=None)
+    assert mixed.columns == clashing(docs).columns and mixed.count() == sum(brute_mix(corpus()).values())
+    assert mixing.manifest(docs.limit(0)).count() == 0
+
+
+def test_mixing_meets_budgets_and_repeats_epochs(spark):
+    rng = random.Random(5)
+    rows = [(k, " ".join(words(rng, rng.randrange(1, 40))), "en", "big" if k % 10 else "small", 0) for k in range(400)]
+    got = mixing.manifest(spark.createDataFrame(rows, DOCS), {"big": 1.0, "small": 1.0}).groupBy("source").agg(F.sum("n_tokens").alias("n"), F.max("mix_epoch").alias("e")).collect()
+    total = sum(len(r[1].split()) for r in rows)
+    for r in got:
+        assert total / 2 - 40 < r["n"] <= total / 2
+    assert {r["source"]: r["e"] > 2 for r in got} == {"big": False, "small": True}
+
+
+# Near copies
+
+
+@pytest.mark.parametrize("chunk", [2000, 3])
+def test_jaccard_join_equals_brute_force(spark, docs, chunk):
+    assert {tuple(r) for r in jaccard_join.groups(clashing(docs), chunk=chunk).collect()} == brute_groups(corpus())
+
+
+def test_jaccard_join_of_a_chain_in_chunks(spark):
+    """Documents that drift from one another: only neighbours are near, and chunks part them."""
+    rng = random.Random(8)
+    text, rows = words(rng, 100, 10**6), []
+    for k in range(60):
+        rows.append((k, " ".join(text), "en", "s", 0))
+        text = list(text)
+        for _ in range(3):
+            text[rng.randrange(100)] = f"n{rng.randrange(10**6)}"
+    assert {tuple(r) for r in jaccard_join.groups(spark.createDataFrame(rows, DOCS), chunk=7).collect()} == brute_groups(rows)
+
+
+def test_without_copies(spark, docs):
+    gone = {i for i, g, _ in brute_groups(corpus()) if i != g}
+    left = jaccard_join.without_copies(clashing(docs))
+    assert left.columns == clashing(docs).columns
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(r[0]) for r in corpus() if r[0] not in gone)
+    assert jaccard_join.groups(docs.limit(0)).count() == 0 and jaccard_join.without_copies(docs.limit(0)).count() == 0
+
+
+def test_forest_is_exact():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        sets = [np.unique(rng.integers(0, 30, rng.integers(1, 25)).astype(np.uint64)) for _ in range(25)]
+        r = float(rng.choice([0.2, 0.4, 0.6])) + 1e-12
+        near = lambda a, b: 1 - len(np.intersect1d(a, b)) / len(np.union1d(a, b)) <= r  # noqa: E731, B023
+
+        def label(edges):
+            root = list(range(25))
+            for a, b in edges:
+                x, y = root[a], root[b]
+                root = [min(x, y) if v in (x, y) else v for v in root]
+            return root
+
+        edges = jaccard_join.forest(jaccard_join.Region(sets), r)
+        assert all(near(sets[a], sets[b]) for a, b in edges)
+        assert label(edges) == label([(a, b) for a in range(25) for b in range(25) if near(sets[a], sets[b])])
+
+
+# Suffix arrays
+
+
+def test_suffix_array_and_common_prefixes():
+    from kindred.llm.common import mix
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 50, 300):
+        t = np.append(rng.integers(1, 4, n), 0)
+        plain = t.tolist()
+        sa = suffix_dedup.suffix_array(t)
+        assert sa.tolist() == sorted(range(n + 1), key=lambda i: plain[i:])
+
+        def common(a, b):
+            k = 0
+            while max(a, b) + k <= n and plain[a + k] == plain[b + k]:
+                k += 1
+            return k
+
+        assert suffix_dedup.common_prefix(sa, t, mix(t.astype(np.uint64))).tolist() == [0] + [common(sa[j - 1], sa[j]) for j in range(1, n + 1)]
+
+
+@pytest.mark.parametrize("shard", [1, 5_000, 1 << 21])
+def test_repeats_equal_brute_force(spark, docs, shard):
+    got = {r["doc_id"]: {i for a, b in zip(r["firsts"], r["uptos"]) for i in range(a, b)} for r in suffix_dedup.repeats(clashing(docs), 50, shard).collect()}
+    assert got == brute_repeats(corpus(), 50)
+
+
+def test_cut_texts(spark, docs):
+    covered = brute_repeats(corpus(), 50)
+    left = suffix_dedup.without_repeats(clashing(docs))
+    assert left.columns == clashing(docs).columns
+    want = []
+    for r in corpus():
+        w = (r[1] or "").split()
+        kept = [x for i, x in enumerate(w) if r[0] is None or i not in covered[r[0]]]
+        if kept or not w:
+            want.append((r[0], kept))
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], (r["text"] or "").split())) for r in left.collect())
+    assert all(r["n_chars"] == len(r["text"]) for r in left.where("text IS NOT NULL").collect())
+    assert suffix_dedup.repeats(docs.limit(0)).count() == 0
+
+
+# Quality rules
+
+
+def brute_mcd(x):
+    """The same concentration steps on exact bins, in numpy."""
+
+    def fit(x, scale=1.0, diagonal=False):
+        c = np.cov(x.T, bias=True) * scale
+        c = np.diag(np.diag(c)) if diagonal else c
+        c = c + np.diag(quality_rules.FLOOR**2)
+        return x.mean(0), c
+
+    def far(x, m, c):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    def step(x, m, c, upto=None):
+        d = far(x, m, c)
+        b = np.floor(np.log(np.maximum(d, 1e-6)) * quality_rules.BINS_PER_E)
+        need = np.sort(b)[math.ceil(quality_rules.H * len(x)) - 1]
+        take = b <= need if upto is None else (b <= need) | (b < math.floor(math.log(upto) * quality_rules.BINS_PER_E))
+        part, scale = take.mean(), 1.0
+        if part < 1:
+            scale = min(part / max(quality_rules._chi2_cdf(quality_rules.chi2(part, x.shape[1]), x.shape[1] + 2), 1e-6), 10.0)
+        return fit(x[take], scale)
+
+    best = None
+    for diagonal in (False, True):
+        m, c = fit(x, 1.0, diagonal)
+        for _ in range(quality_rules.STEPS):
+            m, c = step(x, m, c)
+        det = np.linalg.slogdet(c)[1]
+        if best is None or det < best[0] - 1e-12:
+            best = (det, m, c)
+    m, c = step(x, best[1], best[2], quality_rules.chi2(0.975, x.shape[1]))
+    return far(x, m, c)
+
+
+def test_quality_rules_equal_brute_force_and_reject_junk(spark):
+    rng = random.Random(4)
+    clean = [" ".join(words(rng, rng.randrange(5, 200))) for _ in range(300)]
+    junk = [" ".join(w + "***" for w in words(rng, 60)) for _ in range(30)] + [("LOUD " * 40) + " ".join(words(rng, 5)) for _ in range(20)]
+    texts = [*clean, *junk]
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in quality_rules.judged(clashing(spark.createDataFrame(rows, DOCS))).collect()}
+    want = brute_mcd(quality_rules.statistics(pa.array(texts))[1])
+    for k in range(len(texts)):
+        assert got[k]["distance2"] == pytest.approx(want[k], rel=1e-4, abs=1e-4)
+        assert got[k]["rejected"] == (k >= 300)
+
+
+def test_quality_rules_edge_cases(spark, docs):
+    got = quality_rules.judged(clashing(docs)).collect()
+    assert len(got) == len(corpus())
+    assert all(r["rejected"] and r["distance2"] is None for r in got if r["n_words"] == 0) and sum(r["n_words"] == 0 for r in got) == 3
+    left = quality_rules.accepted(clashing(docs))
+    assert left.columns == clashing(docs).columns and left.count() == sum(not r["rejected"] for r in got)
+    assert quality_rules.judged(docs.limit(0)).count() == 0 and quality_rules.accepted(docs.limit(0)).count() == 0
+
+
+def test_chi2():
+    for q, p, want in ((0.95, 6, 12.592), (0.975, 6, 14.449), (0.99, 3, 11.345)):
+        assert quality_rules.chi2(q, p) == pytest.approx(want, rel=0.01)
+
+
+# Line classifier
+
+
+def test_forward_backward_equals_enumeration():
+    rng = np.random.default_rng(0)
+    sizes = [1, 3, 0, 5, 2]
+    doc = np.concatenate([[0], np.cumsum(sizes)])
+    unary, move = rng.normal(size=doc[-1]), rng.normal(size=(2, 2))
+    good, pair, z = quality_crf.forward_backward(unary, move, doc)
+    want, pairs, logz = np.zeros(doc[-1]), np.zeros((2, 2)), 0.0
+    for a, b in zip(doc[:-1], doc[1:]):
+        if a == b:
+            continue
+        total, here, two = 0.0, np.zeros(b - a), np.zeros((2, 2))
+        for m in range(2 ** (b - a)):
+            y = [(m >> i) & 1 for i in range(b - a)]
+            p = math.exp(sum(unary[a + i] for i in range(b - a) if y[i]) + sum(move[y[i], y[i + 1]] for i in range(b - a - 1)))
+            total += p
+            here += p * np.array(y)
+            for i in range(b - a - 1):
+                two[y[i], y[i + 1]] += p
+        want[a:b], pairs, logz = here / total, pairs + two / total, logz + math.log(total)
+    assert good == pytest.approx(want) and pair == pytest.approx(pairs) and z == pytest.approx(logz)
+
+
+def labelled(seed, n=240):
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for k in range(n):
+        bad = k % 3 == 0
+        lines = [" ".join(words(rng, rng.randrange(3, 15))) + "." for _ in range(rng.randrange(1, 8))]
+        rows.append((k, "\n".join(x.upper().replace(" ", "!! ") if bad else x for x in lines) + (" scum moron" if k % 4 == 0 else "")))
+        labels.append((k, int(not bad), int(k % 4 == 0)))
+    return rows, labels
+
+
+def test_classifiers_on_held_out_rows(spark):
+    rows, labels = labelled(1)
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    held = [x for x in labels if x[0] % 2]
+    held += [x for x in labels if x[0] % 8 == 0]
+    train = spark.createDataFrame([x for x in labels if x not in held], "doc_id long, quality int, toxic int")
+    q = {r["doc_id"]: r["kept"] for r in quality_crf.classify(docs, train).collect()}
+    assert np.mean([q[i] == bool(good) for i, good, _ in held]) > 0.97
+    t = {r["doc_id"]: r["is_toxic"] for r in toxicity.classify(docs, train).collect()}
+    assert np.mean([t[i] == bool(bad) for i, _, bad in held]) > 0.97
+
+
+def test_classifiers_edge_cases(spark, docs):
+    rows, labels = labelled(2, 80)
+    train = spark.createDataFrame([*labels, (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    odd = clashing(spark.createDataFrame([*rows, (1000, None), (1001, ""), (1002, "\n\n"), (1003, "word " * 50_000), (None, "x"), (1, rows[1][1])], "doc_id long, text string"))
+    for r in quality_crf.classify(odd, train).collect():
+        if r["doc_id"] in (1000, 1001, 1002):
+            assert (r["n_lines"], r["quality"], r["kept"]) == (0, None, False)
+    for r in toxicity.classify(odd, train).collect():
+        if r["doc_id"] in (1000, 1001, 1002):
+            assert r["p_toxic"] is None and not r["is_toxic"]
+    none = train.limit(0)
+    assert all(r["quality"] == 0.5 and r["kept"] for r in quality_crf.classify(odd, none).where("n_lines > 0").collect())
+    assert all(r["p_toxic"] is None and not r["is_toxic"] for r in toxicity.classify(odd, none).collect())
+    for f in (quality_crf, toxicity):
+        assert f.classify(odd.limit(0), train).count() == 0
+        assert f.classify(odd, train).count() == odd.count()
+
+
+def test_chain_uses_out_of_fold_predictions():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 5))
+    y1 = (x[:, 0] > 0).astype(float)
+    y2 = (x[:, 0] + x[:, 1] > 0).astype(float)
+    fold = np.arange(200) % toxicity.FOLDS
+    weights, _, seen = toxicity.train(x, [y1, y2], fold)
+    for k in range(toxicity.FOLDS):
+        w = toxicity.fit_logistic(x[fold != k], y1[fold != k])
+        assert seen[0][fold == k] == pytest.approx(toxicity.logit(x[fold == k], w))
+    assert len(weights[0]) == 6 and len(weights[1]) == 7
+
+
+# HTML
+
+
+def brute_cut(net, links):
+    best = None
+    for m in range(2 ** len(net)):
+        side = [(m >> i) & 1 for i in range(len(net))]
+        cost = sum(v for v, s in zip(net, side) if v > 0 and not s) + sum(-v for v, s in zip(net, side) if v < 0 and s) + sum(c for (i, j), c in links.items() if side[i] != side[j])
+        if best is None or (cost, sum(side)) < best[:2]:
+            best = (cost, sum(side), side)
+    return [bool(s) for s in best[2]]
+
+
+def test_minimum_cut_equals_enumeration():
+    rng = random.Random(6)
+    for _ in range(150):
+        n = rng.randrange(1, 9)
+        net = [rng.randrange(-9, 10) for _ in range(n)]
+        links = {(i, j): rng.randrange(1, 6) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.4}
+        assert html_extract.minimum_cut(net, links) == brute_cut(net, links)
+
+
+def test_html_blocks_and_pages(spark):
+    b = html_extract.blocks('<nav><a href=x>A &amp; B</a></nav><article><p>one <b>two</b><p>three<br>four</article><script>var t="</p>"</script><!-- c --><style>x{}</style>tail')
+    assert [x.text for x in b] == ["A & B", "one two", "three", "four", "tail"]
+    assert [x.label for x in b] == [0, 1, 1, 1, -1] and b[0].links > 0
+    assert [x.text for x in html_extract.blocks("a < b <p>x<script>never closed")] == ["a < b", "x"]
+    rng = random.Random(7)
+    page = lambda k: f"<html><body><nav><ul>{''.join(f'<li><a href=/{w}>{w}</a></li>' for w in words(rng, 6))}</ul></nav><article><h1>Title {k}</h1>{''.join('<p>' + ', '.join(words(rng, 40)) + '.</p>' for _ in range(5))}</article><footer>&copy; x</footer></body></html>"
+    rows = [(k, page(k)) for k in range(60)] + [(100, None), (101, ""), (102, "<p></p>"), (103, "<p>" + "long, text. " * 50_000), (None, page(1)), (1, page(1))]
+    df = clashing(spark.createDataFrame(rows, "page_id long, html string"))
+    got = html_extract.content(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["page_id"] is not None and r["page_id"] < 60:
+            assert r["n_content"] == 6 and r["n_blocks"] == 13 and "©" not in r["text"]
+        if r["page_id"] in (100, 101, 102):
+            assert (r["text"], r["n_blocks"]) == (None, 0)
+    assert html_extract.content(df.limit(0)).count() == 0
+
+
+# Top-k
+
+
+@pytest.mark.parametrize(("n", "groups"), [(300, 4000), (300, 40), (5, 40), (1, 40)])
+def test_knn_equals_brute_force(spark, n, groups):
+    rng = np.random.default_rng(n + groups)
+    centres = rng.normal(size=(6, 8))
+    v = [(centres[rng.integers(6)] + rng.normal(size=8) * 0.2).astype(np.float32) for _ in range(n)]
+    v[0:2] = [v[0], v[0]]
+    v = v[:n]
+    rows = [(k, x.tolist()) for k, x in enumerate(v)]
+    odd = [(900, None), (901, []), (902, [1.0]), (903, [float("nan")] * 8), (None, [0.0] * 8), (0, rows[0][1])]
+    got = {(r["vec_id"], r["rank"]): (r["neighbor_id"], r["distance"]) for r in knn.knn_join(clashing(spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")), 10, groups).collect()}
+    want = {}
+    for k, x in enumerate(v):
+        d = sorted((float(np.sqrt(((x.astype(float) - y.astype(float)) ** 2).sum())), j) for j, y in enumerate(v) if j != k)
+        want |= {(k, r + 1): (j, dist) for r, (dist, j) in enumerate(d[:10])}
+    assert {k: x[0] for k, x in got.items()} == {k: x[0] for k, x in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1]) for k in want)
+
+
+def test_knn_of_nothing(spark):
+    assert knn.knn_join(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+# URLs
+
+
+def test_url_hits(spark):
+    urls = ["http://casino-win.example.net/1", "http://x.com/cheapest", "http://cheap.free.com", "http://free.com/free/free", "HTTP://ADULT-X.com", None, "", "casino", "http://mycasino.com", "http://a.com/" + "ads-" * 50_000]
+    df = clashing(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    got = {r["page_id"]: r for r in url_filter.url_hits(df).collect()}
+    assert [got[k]["rejected"] for k in range(len(urls))] == [True, False, True, False, True, False, False, True, False, False]
+    assert got[0]["strict_terms"] == ["casino"] and got[0]["soft_terms"] == ["win"] and got[2]["soft_terms"] == ["cheap", "free"]
+    assert url_filter.url_hits(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        url_filter.automaton(["Upper"], [])

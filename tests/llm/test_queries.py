@@ -1,0 +1,71 @@
+"""Queries against their SQL, and the pipeline stage by stage against brute-force versions, on the smallest tables."""
+
+import glob
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from kindred.llm import mixing, quality_rules, sentencepiece_codec
+from kindred.llm import queries as llm
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
+
+    c = duckdb.connect()
+    for p in glob.glob(f"{SF}/*.parquet"):
+        c.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}{'/*.parquet' if os.path.isdir(p) else ''}'")
+    return c
+
+
+def norm(v):
+    return round(v, 7) if isinstance(v, float) else tuple(map(norm, v)) if isinstance(v, (list, tuple)) else v
+
+
+@pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
+def test_query(spark, duck, name):
+    df = llm.queries()[name](spark, SF)
+    cols = sorted(df.columns)
+    got = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr)
+    r = duck.execute(llm.oracle_sql()[name])
+    names = [x[0] for x in r.description]
+    assert sorted(names) == cols
+    assert got == sorted((tuple(norm(x[names.index(c)]) for c in cols) for x in r.fetchall()), key=repr)
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    from tests_llm_brute import brute_groups, brute_mix, brute_repeats
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    kept = {r["doc_id"] for r in quality_rules.judged(docs).where("NOT rejected").collect()}
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect() if r["doc_id"] in kept]
+    gone = {i for i, g, _ in brute_groups(rows) if i != g}
+    rows = [r for r in rows if r[0] not in gone]
+    covered, cut = brute_repeats(rows, 50), []
+    import re
+
+    for r in rows:
+        parts = re.findall(r"[^ \t\n\r\f\v]+[ \t\n\r\f\v]*", r[1])
+        lead = r[1][: len(r[1]) - len("".join(parts))]
+        text = lead + "".join(p for i, p in enumerate(parts) if i not in covered[r[0]])
+        if text.strip():
+            cut.append((r[0], text, r[2], r[3], len(text)))
+    model = sentencepiece_codec.load(sentencepiece_codec.MODEL)
+    texts = {r[0]: r[1] for r in cut}
+    want = sorted((doc_id, tuple(model.encode(texts[doc_id]))) for (doc_id, *_), n in brute_mix(cut).items() for _ in range(n))
+    got = sorted((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, SF).collect())
+    assert got == want
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == columns
+
+
+def test_brute_force_of_mixing_counts_as_sql_does(spark):
+    df = spark.createDataFrame([(t,) for t in (" a b", "a\n\nb ", "", None, "   ", "x")], "t string").select(mixing.tokens(F.col("t")).alias("n"))
+    assert [r["n"] for r in df.collect()] == [2, 2, 0, 0, 0, 1]
