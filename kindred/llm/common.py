@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: A token byte is an ASCII letter or digit, or any byte of a character beyond ASCII.
 WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
@@ -53,6 +54,13 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def frugal(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df; its session sends Python no more than so many rows at a time, unless it has a setting of its own. Spark's 10,000 rows are too many where a row is a document."""
+    if df.sparkSession.conf.get(BATCH) == "10000":
+        df.sparkSession.conf.set(BATCH, str(rows))
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

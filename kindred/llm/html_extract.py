@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.common import frugal
 from kindred.llm.toxicity import fit_logistic
 
 TRAIN_PAGES = 300
@@ -220,7 +221,7 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> np.ndarray:
-    rows = pages.where("html IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
+    rows = frugal(pages).where("html IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
     chosen = rows.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages).distinct()
     got = rows.join(F.broadcast(chosen), "page_id").mapInArrow(_collect, "page_id long, x binary, y binary").collect()
     got = sorted(got, key=lambda r: (r["page_id"] is None, r["page_id"], bytes(r["x"])))[: 4 * train_pages]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import durable, grams, mix, slices, small
+from kindred.llm.common import durable, frugal, grams, mix, slices, small
 from kindred.llm.components import components
 
 N = 2
@@ -173,7 +173,7 @@ def _across(r: float):
 def groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, group_id, group_size) of every document that has a partner; group_id is the least doc_id of the group."""
     r = 1.0 - threshold + 1e-12
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     sigs = durable(rows.mapInArrow(signatures(n), "sig long, doc_id long"))
     pivots = sigs.groupBy("sig").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("sig", "pivot")
     star = durable(sigs.join(pivots, "sig").select("pivot", "doc_id").where("pivot <> doc_id").distinct())

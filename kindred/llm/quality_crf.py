@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import WORD, Text, grams, slices
+from kindred.llm.common import WORD, Text, frugal, grams, slices
 from kindred.llm.quality_rules import _DIGIT, _LETTER, _SYMBOL, _UPPER
 from kindred.llm.samples import labelled
 
 PER_CLASS = 2000
 THRESHOLD = 0.7
-SLICE = 4 << 20
+SLICE = 1 << 20
 _LINE = np.array([c != 10 for c in range(256)])
 _STOP = np.array([chr(c) in ".!?" for c in range(256)])
 OWN = ("words", "symbols", "upper", "digits", "word_bytes", "stutter", "loops", "long_words", "stop", "copy")
@@ -177,4 +177,4 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, thr
     """(doc_id, n_lines, quality, kept) of every row."""
     w, move = fit(docs, labels, per_class)
     threshold = threshold if w.any() else min(threshold, 0.5)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(w, move, threshold), "doc_id long, n_lines int, quality double, kept boolean")
+    return frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(w, move, threshold), "doc_id long, n_lines int, quality double, kept boolean")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindred.llm.common import durable, grams, slices, small
+from kindred.llm.common import durable, frugal, grams, slices, small
 
 NAMES = ("symbols", "upper", "digits", "stutter", "loops", "long_words")
 #: Typical shares, and the least deviation that matters, of the square roots.
@@ -199,7 +199,7 @@ def estimates(stats: DataFrame, min_group: int = MIN_GROUP, steps: int = STEPS)
 
 
 def _stats(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang"), F.col("source"), _key("lang").alias("l"), _key("source").alias("s"), vector(F.col("text").cast("string")).alias("x"))
+    return frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang"), F.col("source"), _key("lang").alias("l"), _key("source").alias("s"), vector(F.col("text").cast("string")).alias("x"))
 
 
 def judged(docs: DataFrame, quantile: float = QUANTILE, min_group: int = MIN_GROUP) -> DataFrame:

@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.common import frugal
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "\u2581"
 #: Chunks that a task's table holds before it starts anew; it bounds memory and never changes a result.
@@ -145,7 +147,7 @@ def _encode(path: str):
 
 def encode(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     """(doc_id, ids, n_tokens, round_trip) of every row. round_trip says that decoding the ids gives the text again."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(model_path), SCHEMA)
+    return frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(model_path), SCHEMA)
 
 
 def _decode(path: str):
@@ -162,4 +164,4 @@ def _decode(path: str):
 
 def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     """(doc_id, text) from (doc_id, ids); bytes that are no UTF-8 become the replacement character."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decode(model_path), "doc_id long, text string")
+    return frugal(encoded).select("doc_id", "ids").mapInArrow(_decode(model_path), "doc_id long, text string")

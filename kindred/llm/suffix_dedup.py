@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import NONSPACE, _power, durable, mix, shuffle_partitions, slices, small
+from kindred.llm.common import NONSPACE, _power, durable, frugal, mix, shuffle_partitions, slices, small
 
 K = 50
 SHARD_BYTES = 2 << 20
@@ -255,7 +255,7 @@ def repeats(docs: DataFrame, k: int = K, shard_bytes: int = SHARD_BYTES) -> Data
     """(doc_id, firsts, uptos, n_cut): for each document with repeats the words firsts[i]..uptos[i] - 1 (from 0) that are cut, and how many."""
     spark = docs.sparkSession
     partitions = shuffle_partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     packed = rows.mapInArrow(_shards(k, partitions, shard_bytes), "part int, docs binary, starts binary, sizes binary, prints binary")
     found = packed.groupBy("part").applyInPandas(_merge(k), "doc_id long, first int, upto int")
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(4 * partitions)).cast("int")

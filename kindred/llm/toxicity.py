@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import Text, mix, slices
+from kindred.llm.common import Text, frugal, mix, slices
 from kindred.llm.quality_rules import statistics
 from kindred.llm.samples import labelled
 
@@ -183,4 +183,4 @@ def _score(chain: Chain | None):
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, p_low_quality, p_toxic, p_severe, is_toxic, is_severe) of every row."""
     chain = fit(docs, labels, per_class)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(chain), SCHEMA)
+    return frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(chain), SCHEMA)
