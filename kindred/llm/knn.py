@@ -29,6 +29,8 @@ from kindred.llm.common import durable
 
 K = 10
 GROUP_ROWS = 4000
+#: Distances that a task holds at a time.
+BLOCK_CELLS = 2_000_000
 SLACK = 1e-6
 SCHEMA = "vec_id long, rank int, neighbor_id long, distance double"
 
@@ -38,7 +40,11 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _squares(q: np.ndarray, s: np.ndarray) -> np.ndarray:
-    return np.maximum((q * q).sum(1)[:, None] + (s * s).sum(1)[None, :] - 2.0 * (q @ s.T), 0.0)
+    d = q @ s.T
+    d *= -2.0
+    d += (q * q).sum(1)[:, None]
+    d += (s * s).sum(1)[None, :]
+    return np.maximum(d, 0.0, out=d)
 
 
 def clean(vectors: DataFrame) -> tuple[DataFrame, int]:
@@ -49,16 +55,18 @@ def clean(vectors: DataFrame) -> tuple[DataFrame, int]:
     return v.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v")), dim
 
 
-def nearest(ids: np.ndarray, q: np.ndarray, others: np.ndarray, s: np.ndarray, k: int, block: int = 512) -> Iterator[tuple[np.ndarray, ...]]:
+def nearest(ids: np.ndarray, q: np.ndarray, others: np.ndarray, s: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
     """For blocks of queries: (query ids, ranks, neighbour ids, distances)."""
     order = np.argsort(others, kind="stable")
     others, s = others[order], s[order]
+    block = max(8, BLOCK_CELLS // max(len(others), 1))
     for at in range(0, len(ids), block):
         part, d = q[at : at + block], _squares(q[at : at + block], s)
         d[ids[at : at + block, None] == others[None, :]] = np.inf
         take = min(k, len(others))
         limit = np.partition(d, take - 1, axis=1)[:, take - 1]
-        limit = np.where(np.isfinite(limit), limit, d[np.isfinite(d)].max(initial=0.0))
+        if not np.isfinite(limit).all():
+            limit = np.where(np.isfinite(limit), limit, d[np.isfinite(d)].max(initial=0.0))
         row, col = np.nonzero(d <= limit[:, None] + 1e-9 * (1.0 + limit[:, None]))
         exact = ((part[row] - s[col]) ** 2).sum(1)
         by = np.lexsort((others[col], exact, row))
