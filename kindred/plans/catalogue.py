@@ -200,11 +200,11 @@ def best_match_argmax(spark, d):
     return resolve.best_match(table(spark, d, "supplier").withColumnRenamed("s_nationkey", "b"), table(spark, d, "customer").withColumnRenamed("c_nationkey", "b"), "b", "s_suppkey", "s_name", "c_custkey", "c_name")
 
 
-@query("""WITH v AS (SELECT l_suppkey AS supp, p_brand AS value, l_orderkey * 10 + l_linenumber AS pos FROM lineitem JOIN part ON p_partkey = l_partkey), c AS (SELECT supp, value, count(*) AS n, min(pos) AS first FROM v GROUP BY ALL)
+@query("""WITH v AS (SELECT l_suppkey AS supp, p_brand AS value, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS pos FROM lineitem JOIN part ON p_partkey = l_partkey), c AS (SELECT supp, value, count(*) AS n, min(pos) AS first FROM v GROUP BY ALL)
 SELECT supp, arg_max(value, struct_pack(n := n, p := -first)) AS winner, max(n) / CAST(sum(n) AS DOUBLE) AS share FROM c GROUP BY supp""")
 def vote_majority_share(spark, d):
     v = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    return resolve.majority(v.select(F.col("l_suppkey").alias("supp"), F.col("p_brand").alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos")), "supp", "value", "pos")
+    return resolve.majority(v.select(F.col("l_suppkey").alias("supp"), F.col("p_brand").alias("value"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("pos")), "supp", "value", "pos")
 
 
 # Clusters ------------------------------------------------------------------------------------------------------------
@@ -381,11 +381,11 @@ def context_child_count(spark, d):
     return context.child_counts(table(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey", table(spark, d, "customer"), "c_nationkey", "total")
 
 
-@query("""WITH s AS (SELECT l_partkey AS part, arg_min(s_name, l_orderkey * 10 + l_linenumber) AS name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_suppkey % 3 = 0 GROUP BY 1)
+@query("""WITH s AS (SELECT l_partkey AS part, arg_min(s_name, struct_pack(p := l_orderkey * 10 + l_linenumber, n := s_name)) AS name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_suppkey % 3 = 0 GROUP BY 1)
 SELECT p_partkey AS group_id, coalesce(s.name, CASE WHEN p_size > 25 THEN p_type END) AS name, CASE WHEN s.name IS NOT NULL THEN 'viacep' WHEN p_size > 25 THEN 'google' END AS source FROM part LEFT JOIN s ON s.part = p_partkey""")
 def cascade_coalesce(spark, d):
     l = table(spark, d, "lineitem").where("l_suppkey % 3 = 0").join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))  # noqa: E741
-    first = l.groupBy(F.col("l_partkey").alias("group_id")).agg(F.min_by("s_name", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("n")).select("group_id", resolve.official(F.col("n"), "viacep", F.lit(1.0)).alias("official"))
+    first = l.groupBy(F.col("l_partkey").alias("group_id")).agg(F.min_by("s_name", F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("p"), "s_name")).alias("n")).select("group_id", resolve.official(F.col("n"), "viacep", F.lit(1.0)).alias("official"))
     part = table(spark, d, "part")
     second = part.where("p_size > 25").select(F.col("p_partkey").alias("group_id"), resolve.official(F.col("p_type"), "google", F.lit(0.8)).alias("official"))
     return resolve.cascade(part.select(F.col("p_partkey").alias("group_id")), first, second).select("group_id", F.col("official.name").alias("name"), F.col("official.source").alias("source"))
