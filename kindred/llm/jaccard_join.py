@@ -10,7 +10,8 @@ Inside a region. Distances to the pivot part it into core (d <= r), shell (r < d
 inequality no far document is within r of the core, and a shell document only of core documents whose distance to the
 pivot is at most r less than its own: that is its window. Shell and far documents recur with a pivot of their own. The
 result is a spanning forest of the exact graph. Regions beyond CHUNK documents are cut into chunks that all hold the
-pivot; documents of one that neither the pivot nor any other edge joined to it then meet all the other chunks.
+pivot; documents of one that neither the pivot nor any other edge joined to it then meet all chunks, and get an edge to each
+component so far that has a document within r of them.
 
 Result: components of the graph, named by their least doc_id. Words are runs of ASCII letters, digits and characters
 beyond ASCII; ASCII case is folded. A text of fewer words than n has one gram of them all.
@@ -154,17 +155,19 @@ def _within(r: float):
 
 def _across(r: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The left-over documents of a region against those of one chunk."""
+        """The left-over documents of a region against those of one chunk: an edge to each other component so far that has a near document."""
         ids, sets = _pool(pdf)
-        label, home = dict(zip(pdf["doc_id"], pdf["label"])), dict(zip(pdf["doc_id"], pdf["home"]))
+        label, home, of = (dict(zip(pdf["doc_id"], pdf[c])) for c in ("label", "home", "root"))
+        root = np.array([of[i] for i in ids], np.int64)
         region, a, b = Region(sets), [], []
         left = [k for k, i in enumerate(ids) if not pd.isna(label[i])]
         here = np.array([k for k, i in enumerate(ids) if home[i]], np.int64)
         for k in left:
-            others = here[here != k]
+            others = here[root[here] != root[k]]
             near = others[region.distance(k, others) <= r] if len(others) else others
-            a += [ids[k]] * len(near[:1])
-            b += list(ids[near[:1]])
+            near = near[np.unique(root[near], return_index=True)[1]]
+            a += [ids[k]] * len(near)
+            b += list(ids[near])
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return run
@@ -190,13 +193,13 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, chunk: int
         # Documents of chunked regions that are still apart from their pivot meet every other chunk of the region.
         member = star.join(small(wide), "pivot")
         lab = lambda name: of.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-        apart = member.join(lab("doc_id"), "doc_id", "left").join(lab("pivot"), "pivot", "left").where("doc_id_root IS NULL OR pivot_root IS NULL OR doc_id_root <> pivot_root").select("doc_id", "pivot", "m")
-        apart = durable(apart)
+        member = durable(member.join(lab("doc_id"), "doc_id", "left").join(lab("pivot"), "pivot", "left").select("doc_id", "pivot", "m", F.coalesce("doc_id_root", "doc_id").alias("root"), "pivot_root"))
+        apart = durable(member.where("pivot_root IS NULL OR root <> pivot_root").select("doc_id", "pivot", "m", "root"))
         if not apart.isEmpty():
             busy = member.join(apart.select("pivot").distinct(), "pivot", "left_semi")
-            home = busy.select("doc_id", "pivot", salt.alias("salt"), F.lit(None).cast("long").alias("label"), F.lit(True).alias("home"))
-            guest = apart.select("doc_id", "pivot", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("salt"), F.col("doc_id").alias("label"), F.lit(False).alias("home"))
-            both = home.unionByName(guest).groupBy("doc_id", "pivot", "salt").agg(F.max("label").alias("label"), F.max("home").alias("home"))
+            home = busy.select("doc_id", "pivot", salt.alias("salt"), F.lit(None).cast("long").alias("label"), F.lit(True).alias("home"), "root")
+            guest = apart.select("doc_id", "pivot", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("salt"), F.col("doc_id").alias("label"), F.lit(False).alias("home"), "root")
+            both = home.unionByName(guest).groupBy("doc_id", "pivot", "salt").agg(F.max("label").alias("label"), F.max("home").alias("home"), F.first("root").alias("root"))
             more = both.join(sets.select("doc_id", "grams"), "doc_id").groupBy("pivot", "salt").applyInPandas(_across(r), "a long, b long")
             of = durable(components(edges.unionByName(more), "a", "b"))
     size = of.groupBy("root").agg(F.count("*").alias("group_size"))

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,15 @@ def test_jaccard_join_of_a_chain_in_chunks(spark):
     assert {tuple(r) for r in jaccard_join.groups(spark.createDataFrame(rows, DOCS), chunk=7).collect()} == brute_groups(rows)
 
 
+def test_jaccard_join_bridges_components_of_a_chunk():
+    """A left-over document that is near two components of one chunk joins both; one of its own component gives no edge."""
+    text = lambda first: np.arange(first, first + 100, dtype=np.uint64).tobytes()
+    rows = [(1, text(0), None, True, 1), (2, text(20), None, True, 2), (3, text(10), 3.0, False, 3), (4, text(22), None, True, 2), (5, text(11), None, True, 3), (6, text(900), None, True, 6)]
+    pdf = pd.DataFrame(rows, columns=["doc_id", "grams", "label", "home", "root"])
+    edges = jaccard_join._across(1 - 0.75 + 1e-12)(pdf)
+    assert list(zip(edges["a"], edges["b"])) == [(3, 1), (3, 2)]
+
+
 def test_without_copies(spark, docs):
     gone = {i for i, g, _ in brute_groups(corpus()) if i != g}
     left = jaccard_join.without_copies(clashing(docs))
