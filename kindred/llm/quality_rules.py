@@ -10,8 +10,8 @@ documents are, and the h-subset is the fewest whole bins that hold at least the
 grows with the table but the scan, and the small parameter rows stay distributed.
 
 Statistics are square roots of smoothed shares, (count + M p0) / (n + M): a short text, whose shares say little, lies near the
-typical share p0 and not far out. FLOOR is the least standard deviation that matters for each; it keeps the covariance
-regular where most documents have the same share.
+typical share p0 and not far out. The square of FLOOR is added to each variance; it keeps the covariance regular where most
+documents have the same share, and outweighs the estimated variances on the test tables (README).
 
 Groups of fewer than MIN_GROUP documents are judged with others like them: first all small groups of the language, and if
 those are still too few, all that are left.
@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from kindred.llm.common import durable, frugal, grams, slices, small
 
 NAMES = ("symbols", "upper", "digits", "stutter", "loops", "long_words")
-#: Typical shares, and the least deviation that matters, of the square roots.
+#: Typical shares, and the deviation whose square is added to the variance, of the square roots.
 PRIOR = np.array([0.002, 0.02, 0.002, 0.005, 0.005, 0.02])
 FLOOR = np.array([0.04, 0.05, 0.09, 0.06, 0.08, 0.08])
 #: How many bytes, letters or words of typical text each share is smoothed with.
@@ -113,7 +113,7 @@ PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
 def fit(n: float, s: np.ndarray, ss: np.ndarray, scale: float = 1.0, diagonal: bool = False) -> tuple[float, list[float], list[float]]:
-    """(log determinant, mean, inverse covariance) from sums; the covariance is made consistent by scale and kept above FLOOR."""
+    """(log determinant, mean, inverse covariance) from sums; the covariance is made consistent by scale, and FLOOR**2 is added to its variances."""
     mean = s / n
     cov = np.zeros((P, P))
     for (i, j), v in zip(PAIRS, ss / n):
