@@ -6,16 +6,23 @@ and gives each token a 64-bit polynomial hash from one cumulative sum, so no Pyt
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.session import durable, shared_folder, small
+
+__all__ = ["Text", "column", "durable", "frugal", "grams", "lean", "mix", "power", "read", "release", "shared_folder", "shuffle_partitions", "slices", "small"]
+
 SLICE_BYTES = 1 << 18
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Spark bounds what it sends Python at a time by rows and bytes; where the bytes are left at its default, this is taken.
+BATCH, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
+#: The longest table of powers that a worker keeps.
+KEPT_POWERS = 1 << 19
 
 #: A token byte is an ASCII letter or digit, or any byte of a character beyond ASCII.
 WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
@@ -35,44 +42,53 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it. Where it names none, as in tests, a temporary one of this machine."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kindred-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+def column(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
 
+def frugal(df: DataFrame) -> DataFrame:
+    """df; where its session has no bound of its own, Python gets no more than some MB at a time, so that a batch of long documents is no more than one of short ones."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH) == BATCH_DEFAULT:
+        conf.set(BATCH, str(BATCH_BYTES))
+    return df
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
 
+def release() -> None:
+    """Give back to the system what Arrow and the C library hold without need. Workers live on after a task, and their memory counts against the executor's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """df with a broadcast hint if it has no more than so many rows; else as it is, for a shuffled join. df should be cut off its lineage."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
+def lean(run: Callable) -> Callable:
+    """A function for mapInArrow or mapInPandas that gives memory back when its task ends."""
 
-def frugal(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df; its session sends Python no more than so many rows at a time, unless it has a setting of its own. Spark's 10,000 rows are too many where a row is a document."""
-    if df.sparkSession.conf.get(BATCH) == "10000":
-        df.sparkSession.conf.set(BATCH, str(rows))
-    return df
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _power(base: int, n: int) -> np.ndarray:
+def power(base: int, n: int) -> np.ndarray:
     """base**i modulo 2**64 for i < n, by doubling."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        out = np.ones(1, np.uint64)
-        while len(out) < n:
-            out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
-        _powers[base] = have = out
+        have = np.ones(1, np.uint64)
+        while len(have) < n:
+            have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
+        if len(have) <= KEPT_POWERS:
+            _powers[base] = have
     return have
 
 
@@ -116,10 +132,10 @@ class Text:
     def hash(self, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """64-bit hash of each token, or of the bytes start:end."""
         if self._sum is None:
-            v = (_MIX_LOWER if self.lower else _MIX)[self.buf] * _power(_BASE, len(self.buf) + 1)[: len(self.buf)]
+            v = (_MIX_LOWER if self.lower else _MIX)[self.buf] * power(_BASE, len(self.buf) + 1)[: len(self.buf)]
             self._sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)])
         start, end = (self.start, self.end) if start is None else (start, end)
-        return mix((self._sum[end] - self._sum[start]) * _power(_INVERSE, len(self.buf) + 1)[start])
+        return mix((self._sum[end] - self._sum[start]) * power(_INVERSE, len(self.buf) + 1)[start])
 
     def bytes_where(self, table: np.ndarray) -> np.ndarray:
         """Running count of the bytes in a class: c[e] - c[s] counts those of s:e."""
