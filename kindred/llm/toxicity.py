@@ -1,12 +1,12 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after another by linear (logistic) models; each model also sees the logits of the categories
-before it. In training those come out of fold, so that a later model learns from predictions as good as it will get, not
-from fitted ones; for scoring, each category's model is fitted on the whole sample.
+Categories are predicted one after another by linear (logistic) models; each model also sees the probabilities of the
+categories before it. In training those come out of fold, so that a later model learns from predictions as good as it
+will get, not from fitted ones; for scoring, each category's model is fitted on the whole sample. A fold's predictions owe
+nothing to its own labels: the lexicon is picked anew from the other folds, and equal texts are in one fold.
 
-The chain: low_quality (1 - labels.quality), toxic (labels.toxic), severe. The labels know one grade of toxicity; severe marks
-toxic documents of which a larger part than the median toxic document of the sample consists of words of the lexicon that
-the sample itself yields.
+The chain: low_quality (1 - labels.quality), toxic (labels.toxic), both (a toxic text of low quality). All labels come from
+the table of labels, none from the features.
 
 Features: whether a document has a word, or a word with the first 4 or 5 bytes, of those that best tell toxic documents
 apart in the sample; shares of symbols, capitals, digits, stutters, loops and long words; the logarithm of the words. Presence,
@@ -21,7 +21,7 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,17 +29,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import Text, frugal, mix, slices
-from kindred.llm.quality_rules import statistics
+from kindred.llm.common import Text, frugal, lean, mix, slices
+from kindred.llm.quality_rules import DIGIT, LETTER, SYMBOL, UPPER, Counts
 from kindred.llm.samples import labelled
 
-CATEGORIES = ("low_quality", "toxic", "severe")
+CATEGORIES = ("low_quality", "toxic", "both")
 PER_CLASS = 2000
 WORDS = 256
 FOLDS = 4
 RIDGE = 3.0
 LEAST_DOCS = 4
-SCHEMA = "doc_id long, p_low_quality double, p_toxic double, p_severe double, is_toxic boolean, is_severe boolean"
+#: Typical shares, and how many bytes, letters or words of typical text they are smoothed with.
+PRIOR = np.array([0.002, 0.02, 0.002, 0.005, 0.005, 0.02])
+M = np.array([60.0, 60.0, 300.0, 60.0, 60.0, 60.0])
+NAMES = ["doc_id", *(f"p_{c}" for c in CATEGORIES), *(f"is_{c}" for c in CATEGORIES)]
+SCHEMA = ", ".join(["doc_id long", *(f"p_{c} double" for c in CATEGORIES), *(f"is_{c} boolean" for c in CATEGORIES)])
+
+
+def dense(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(number of words, features of the whole text) of texts."""
+    words, out = [np.zeros(0, np.int64)], [np.zeros((0, len(M) + 1))]
+    for _, _, t in slices(texts):
+        c = Counts(t)
+        n = c.words
+        pairs = ((c.of(SYMBOL), c.bytes), (c.of(UPPER), c.of(LETTER)), (c.of(DIGIT), c.bytes), (c.stutter(), n), (c.repeats(5), n), (c.sums(c.size > 30), n))
+        words.append(n.astype(np.int64))
+        out.append(np.stack([np.log1p(n) / 4, *(np.sqrt((k + m * p) / (of + m)) for (k, of), p, m in zip(pairs, PRIOR, M))], 1))
+    return np.concatenate(words), np.concatenate(out)
 
 
 def codes(t: Text) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +81,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int
     return w
 
 
-def logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return np.clip(x @ w[:-1] + w[-1], -12, 12)
+def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -12, 12)))
 
 
 @dataclass
@@ -77,26 +93,39 @@ class Chain:
 
 
 def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the best cut by F1 on out-of-fold logits; 0 without positives."""
+    """The middle of the best cut by F1 on out-of-fold probabilities; 1 without positives."""
     if not y.any():
-        return 0.0
+        return 1.0
     order = np.argsort(-score, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     k = int(f1.argmax())
-    low = score[order[k + 1]] if k + 1 < len(order) else score[order[k]] - 1
+    low = score[order[k + 1]] if k + 1 < len(order) else 0.0
     return float((score[order[k]] + low) / 2)
 
 
-def train(x: np.ndarray, ys: list[np.ndarray], fold: np.ndarray) -> tuple[list[np.ndarray], list[float], list[np.ndarray]]:
-    """The chain's weights and thresholds, and its out-of-fold logits."""
-    weights, thresholds, seen = [], [], []
+def folds(same: Sequence[bytes], y: np.ndarray, many: int = FOLDS) -> np.ndarray:
+    """A fold for each row: equal texts share one, and each fold gets about as many toxic texts."""
+    first: dict[bytes, int] = {}
+    at = np.array([first.setdefault(s, k) for k, s in enumerate(same)], np.int64)
+    out = np.zeros(len(at), np.int64)
+    for label in (0, 1):
+        heads = np.flatnonzero((at == np.arange(len(at))) & (y == label))
+        out[heads] = np.arange(len(heads)) % many
+    return out[at]
+
+
+def train(features: Callable[[np.ndarray], np.ndarray], ys: list[np.ndarray], fold: np.ndarray) -> tuple[list[np.ndarray], list[float], list[np.ndarray]]:
+    """The chain's weights and thresholds, and its out-of-fold probabilities. features(rows): those of all rows, as chosen on the labels of some."""
+    every = np.ones(len(fold), bool)
+    parts = [(fold == k, features(fold != k)) for k in np.unique(fold)]
+    whole, weights, thresholds, seen = features(every), [], [], []
     for y in ys:
-        xs = np.column_stack([x, *(s / 4 for s in seen)])
         out = np.zeros(len(y))
-        for k in range(FOLDS):
-            out[fold == k] = logit(xs[fold == k], fit_logistic(xs[fold != k], y[fold != k]))
-        weights.append(fit_logistic(xs, y))
+        for held, x in parts:
+            xs = np.column_stack([x, *seen])
+            out[held] = probability(xs[held], fit_logistic(xs[~held], y[~held]))
+        weights.append(fit_logistic(np.column_stack([whole, *seen]), y))
         thresholds.append(best_threshold(out, y))
         seen.append(out)
     return weights, thresholds, seen
@@ -104,15 +133,26 @@ def train(x: np.ndarray, ys: list[np.ndarray], fold: np.ndarray) -> tuple[list[n
 
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, stats = statistics(batch.column(1))
+        _, x = dense(batch.column(1))
         out = []
         for _, _, t in slices(batch.column(1)):
             owner, code = codes(t)
             key = np.unique((owner.astype(np.uint64) << np.uint64(32)) | code)
             cut = np.searchsorted(key, np.arange(len(t.off), dtype=np.uint64) << np.uint64(32))
             out += [key[a:b].astype(np.uint32).tobytes() for a, b in zip(cut[:-1], cut[1:])]
-        dense = np.column_stack([np.log1p(n) / 4, stats])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array([r.tobytes() for r in dense], pa.binary()), pa.array(n), batch.column(2), batch.column(3)], names=["doc_id", "codes", "dense", "n", "quality", "toxic"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2), batch.column(3)], names=["doc_id", "codes", "dense", "quality", "toxic"])
+
+
+def lexicon_of(owner: np.ndarray, at: np.ndarray, values: np.ndarray, toxic: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The codes that tell the toxic among some rows apart best, by chi-square. owner, at: the row and the place in values of each code."""
+    seen = rows[owner]
+    y = toxic * rows
+    hot, all_ = np.bincount(at[seen], y[owner[seen]], len(values)), np.bincount(at[seen], minlength=len(values)).astype(float)
+    share = y.sum() / rows.sum()
+    expected = np.maximum(all_ * share, 1e-9)
+    score = np.where((all_ >= min(LEAST_DOCS, max(1, rows.sum() // 20))) & (hot > expected), (hot - expected) ** 2 / (expected * max(1 - share, 1e-9)), -1.0)
+    best = np.argsort(-score, kind="stable")[:WORDS]
+    return np.sort(values[best[score[best] >= 0]])
 
 
 def presence(owner: np.ndarray, code: np.ndarray, docs: int, lexicon: np.ndarray) -> np.ndarray:
@@ -126,26 +166,24 @@ def presence(owner: np.ndarray, code: np.ndarray, docs: int, lexicon: np.ndarray
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Chain | None:
     sample = labelled(docs, labels, F.col("toxic"), ["quality", "toxic"], per_class).select("doc_id", "text", "quality", "toxic")
-    rows = sorted(sample.mapInArrow(_collect, "doc_id long, codes binary, dense binary, n long, quality int, toxic int").collect(), key=lambda r: (r["doc_id"], bytes(r["codes"])))
+    rows = sorted(sample.mapInArrow(_collect, "doc_id long, codes binary, dense binary, quality int, toxic int").collect(), key=lambda r: (r["doc_id"], bytes(r["codes"])))
     toxic = np.array([r["toxic"] for r in rows], float)
     if len(rows) < 2 * FOLDS or toxic.min(initial=1) == toxic.max(initial=0):
         return None
+    fold = folds([bytes(r["codes"]) for r in rows], toxic)
+    if any(len(np.unique(toxic[fold != k])) < 2 for k in np.unique(fold)):
+        return None
     sets = [np.frombuffer(r["codes"], np.uint32) for r in rows]
-    owner = np.repeat(np.arange(len(rows)), [len(s) for s in sets])
-    values, at = np.unique(np.concatenate(sets), return_inverse=True)
-    hot, all_ = np.bincount(at, toxic[owner], len(values)), np.bincount(at, minlength=len(values)).astype(float)
-    odds = np.log((hot + 0.5) / (toxic.sum() + 1)) - np.log((all_ - hot + 0.5) / ((1 - toxic).sum() + 1))
-    expected = all_ * toxic.mean()
-    score = np.where((all_ >= min(LEAST_DOCS, max(1, len(rows) // 20))) & (hot > expected), (hot - expected) ** 2 / (expected * (1 - toxic.mean())), -1.0)
-    lexicon = np.sort(values[np.argsort(-score, kind="stable")[:WORDS]])
-    x = np.column_stack([presence(owner, np.concatenate(sets), len(rows), lexicon), np.stack([np.frombuffer(r["dense"]) for r in rows])])
-    strong = np.isin(lexicon, values[odds > 2])
-    density = x[:, : len(lexicon)][:, strong].sum(1) / np.maximum([r["n"] for r in rows], 1)
-    middle = np.median(density[toxic == 1])
+    owner, every = np.repeat(np.arange(len(rows)), [len(s) for s in sets]), np.concatenate(sets)
+    values, at = np.unique(every, return_inverse=True)
+    x = np.stack([np.frombuffer(r["dense"]) for r in rows])
+
+    def features(some: np.ndarray) -> np.ndarray:
+        return np.column_stack([presence(owner, every, len(rows), lexicon_of(owner, at, values, toxic, some)), x])
+
     low = np.array([0.0 if r["quality"] is None else 1.0 - r["quality"] for r in rows])
-    # Folds by order of doc_id: consecutive rows fall into different folds.
-    weights, thresholds, _ = train(x, [low, toxic, toxic * (density > middle)], np.arange(len(rows)) % FOLDS)
-    return Chain(lexicon, weights, thresholds)
+    weights, thresholds, _ = train(features, [low, toxic, low * toxic], fold)
+    return Chain(lexicon_of(owner, at, values, toxic, np.ones(len(rows), bool)), weights, thresholds)
 
 
 def _score(chain: Chain | None):
@@ -153,11 +191,10 @@ def _score(chain: Chain | None):
         for batch in batches:
             rows = batch.num_rows
             if chain is None:
-                none = pa.nulls(rows, pa.float64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), none, none, none, pa.array(np.zeros(rows, bool)), pa.array(np.zeros(rows, bool))], names=["doc_id", "p_low_quality", "p_toxic", "p_severe", "is_toxic", "is_severe"])
+                none, no = pa.nulls(rows, pa.float64()), pa.array(np.zeros(rows, bool))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[none] * len(CATEGORIES), *[no] * len(CATEGORIES)], names=NAMES)
                 continue
-            n, stats = statistics(batch.column(1))
-            dense = np.column_stack([np.log1p(n) / 4, stats])
+            n, whole = dense(batch.column(1))
             door = np.zeros(1 << 16, bool)
             door[chain.lexicon & np.uint32(0xFFFF)] = True
             some = np.zeros((rows, len(chain.lexicon)), bool)
@@ -165,22 +202,23 @@ def _score(chain: Chain | None):
                 owner, code = codes(t)
                 may = door[code & np.uint32(0xFFFF)]
                 owner, code = owner[may] + first, code[may]
-                k = np.minimum(np.searchsorted(chain.lexicon, code), len(chain.lexicon) - 1)
-                hit = chain.lexicon[k] == code
-                some[owner[hit], k[hit]] = True
-            x = np.column_stack([some, dense])
+                if len(code):
+                    k = np.minimum(np.searchsorted(chain.lexicon, code), len(chain.lexicon) - 1)
+                    hit = chain.lexicon[k] == code
+                    some[owner[hit], k[hit]] = True
+            x = np.column_stack([some, whole])
             seen: list[np.ndarray] = []
             for w in chain.weights:
-                seen.append(logit(np.column_stack([x, *(s / 4 for s in seen)]), w))
+                seen.append(probability(np.column_stack([x, *seen]), w))
             blank = n == 0
-            p = [pa.array(np.round(1 / (1 + np.exp(-s)), 6), mask=blank) for s in seen]
-            flags = [(s > c) & ~blank for s, c in zip(seen, chain.thresholds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *p, pa.array(flags[1]), pa.array(flags[1] & flags[2])], names=["doc_id", "p_low_quality", "p_toxic", "p_severe", "is_toxic", "is_severe"])
+            p = [pa.array(np.round(s, 6), mask=blank) for s in seen]
+            flags = [pa.array((s > c) & ~blank) for s, c in zip(seen, chain.thresholds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *p, *flags], names=NAMES)
 
-    return run
+    return lean(run)
 
 
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """(doc_id, p_low_quality, p_toxic, p_severe, is_toxic, is_severe) of every row."""
+    """doc_id, and for each category its probability (p_) and whether it is taken to apply (is_), of every row."""
     chain = fit(docs, labels, per_class)
     return frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(chain), SCHEMA)
