@@ -2,7 +2,7 @@
 
 A line has features of its own and those of the lines before and after it; two labels, transitions between neighbours.
 Forward-backward runs over all documents of a slice at once, one step per line number. A document's quality is the mean of
-its lines' probabilities of being good, weighted by their bytes.
+its lines' probabilities of being good, weighted by their bytes; a line is labelled good if that probability is at least one half.
 
 Training: at most per_class documents of either label (a documented bound, by hash order), every line bearing the label of
 its document; a line of a bad document that also stands in a good one counts as good. The penalised likelihood is
@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import WORD, Text, frugal, grams, slices
-from kindred.llm.quality_rules import _DIGIT, _LETTER, _SYMBOL, _UPPER
+from kindred.llm.common import WORD, Text, frugal, grams, lean, slices
+from kindred.llm.quality_rules import DIGIT, LETTER, SYMBOL, UPPER
 from kindred.llm.samples import labelled
 
 PER_CLASS = 2000
 THRESHOLD = 0.7
-SLICE = 1 << 20
+SLICE = 1 << 18
+SCHEMA = "doc_id long, n_lines int, line_good array<boolean>, line_p array<float>, quality double, kept boolean"
 _LINE = np.array([c != 10 for c in range(256)])
 _STOP = np.array([chr(c) in ".!?" for c in range(256)])
 OWN = ("words", "symbols", "upper", "digits", "word_bytes", "stutter", "loops", "long_words", "stop", "copy")
@@ -76,8 +77,8 @@ def features(line: Text) -> tuple[np.ndarray, np.ndarray]:
     if len(g):
         g_doc = np.repeat(np.arange(len(g_at) - 1), np.diff(g_at))
         looped[word.doc[:-1][g_doc] + np.arange(len(g)) - g_at[:-1][g_doc]] = _again(g, g_doc)
-    letters, hashes = count(_LETTER), line.hash()
-    own = np.stack([np.log1p(words) / 4, _share(count(_SYMBOL), size), _share(count(_UPPER), letters), _share(count(_DIGIT), size), sums((word.end - word.start).astype(float)) / np.maximum(words, 1) / 10, _share(sums(stutter), words), _share(sums(looped), words), _share(sums(((word.end - word.start) > 30).astype(float)), words), _STOP[line.buf[line.end - 1]].astype(float), _again(hashes, owner).astype(float)], 1)
+    letters, hashes = count(LETTER), line.hash()
+    own = np.stack([np.log1p(words) / 4, _share(count(SYMBOL), size), _share(count(UPPER), letters), _share(count(DIGIT), size), sums((word.end - word.start).astype(float)) / np.maximum(words, 1) / 10, _share(sums(stutter), words), _share(sums(looped), words), _share(sums(((word.end - word.start) > 30).astype(float)), words), _STOP[line.buf[line.end - 1]].astype(float), _again(hashes, owner).astype(float)], 1)
     first = np.concatenate([[True], owner[1:] != owner[:-1]])
     last = np.append(first[1:], True)
     near = own[:, NEAR]
@@ -168,13 +169,15 @@ def _score(w: np.ndarray, move: np.ndarray, threshold: float):
                 docs = last - first
                 total = np.bincount(owner, size, docs)
                 q = np.round(np.bincount(owner, size * good, docs) / np.maximum(total, 1), 6)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, docs), pa.array(line.count().astype(np.int32)), pa.array(q, mask=total == 0), pa.array((total > 0) & (q >= threshold))], names=["doc_id", "n_lines", "quality", "kept"])
+                at = pa.array(line.doc.astype(np.int32))
+                labels = pa.ListArray.from_arrays(at, pa.array(good >= 0.5)), pa.ListArray.from_arrays(at, pa.array(np.round(good, 4).astype(np.float32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, docs), pa.array(line.count().astype(np.int32)), *labels, pa.array(q, mask=total == 0), pa.array((total > 0) & (q >= threshold))], names=["doc_id", "n_lines", "line_good", "line_p", "quality", "kept"])
 
-    return run
+    return lean(run)
 
 
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, n_lines, quality, kept) of every row."""
+    """(doc_id, n_lines, line_good, line_p, quality, kept) of every row; line_good has the label of every line that is not empty, line_p its probability of being good."""
     w, move = fit(docs, labels, per_class)
     threshold = threshold if w.any() else min(threshold, 0.5)
-    return frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(w, move, threshold), "doc_id long, n_lines int, quality double, kept boolean")
+    return frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(w, move, threshold), SCHEMA)
