@@ -1,12 +1,16 @@
 """Exact top-k search as a Voronoi kNN join: every vector is a query against all others.
 
-Pivots (their number grows as the square root of the table) part the vectors into cells. Each cell's summary (radius,
-the largest k-th neighbour distance found inside the cell, the k nearest members to the pivot) bounds how far a
-neighbour of any of its queries can be. Cells form groups; a vector goes to a group only if some cell of the group can
-need it by the ball and the hyperplane bound; each group is solved with one matrix product per block of queries.
+Pivots (their number grows as the square root of the table, up to PIVOTS) part the vectors into cells; near cells form groups of
+about group_rows vectors, and a larger cell is cut into several. Each group is solved within itself first: that gives every
+query k neighbours, hence a bound, and each cell its summary (radius, largest bound of its queries). A vector is then sent to
+another group only if some cell there can need it by the ball and the hyperplane bound. What one group sends another is a task
+of its own, which meets the queries of that group; the k best of all tasks win. So no task holds more than two groups, and
+where the bounds exclude nothing, as with vectors that are all about as far apart, each vector still travels only as often as
+there are groups, and groups grow with the table up to MOST_ROWS.
 
 Distances are Euclidean; ties go to the smaller neighbour_id; a vector is no neighbour of its own vec_id. Candidates from
-the matrix product keep a margin above its rounding error and are measured again directly, so the result is exact.
+the matrix product, in single precision, keep a margin above its rounding error and are measured again directly, so the result is
+exact.
 
 Cases: rows with a null id, a null, empty or non-finite embedding, or another length than the commonest one (ties: the
 shorter) are left out; rows with one vec_id count once, with the least embedding; equal vectors are neighbours at
@@ -25,18 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import durable
+from kindred.llm.common import durable, lean, small
 
 K = 10
-GROUP_ROWS = 4000
+PIVOTS = 2048
+LEAST_ROWS, MOST_ROWS, GROUPS = 2000, 16_000, 4
 #: Distances that a task holds at a time.
 BLOCK_CELLS = 2_000_000
 SLACK = 1e-6
 SCHEMA = "vec_id long, rank int, neighbor_id long, distance double"
-
-
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+_FOUND = "vec_id long, near array<struct<distance:double,neighbor_id:long>>"
 
 
 def _squares(q: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -55,122 +57,165 @@ def clean(vectors: DataFrame) -> tuple[DataFrame, int]:
     return v.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v")), dim
 
 
-def nearest(ids: np.ndarray, q: np.ndarray, others: np.ndarray, s: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For blocks of queries: (query ids, ranks, neighbour ids, distances)."""
+def matrix(column, dim: int) -> np.ndarray:
+    """Vectors that came as bytes."""
+    return np.frombuffer(b"".join(column), np.float64).reshape(-1, dim)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        v = [np.array(x, np.float64).tobytes() for x in batch.column(1).to_numpy(zero_copy_only=False)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.binary())], names=["vec_id", "v"])
+
+
+def nearest(ids: np.ndarray, q: np.ndarray, others: np.ndarray, s: np.ndarray, k: int, bound: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """For blocks of queries: (place of the query, neighbour ids, distances) of the k nearest within each query's bound, by query, distance and id."""
     order = np.argsort(others, kind="stable")
     others, s = others[order], s[order]
-    block = max(8, BLOCK_CELLS // max(len(others), 1))
+    centre = s.mean(0)
+    near_q, near_s = (q - centre).astype(np.float32), (s - centre).astype(np.float32)
+    size_q, size_s = ((x.astype(np.float64) ** 2).sum(1) for x in (near_q, near_s))
+    top = float(size_s.max())
+    bound = np.full(len(ids), np.inf) if bound is None else bound
+    block = max(8, BLOCK_CELLS // len(others))
     for at in range(0, len(ids), block):
-        part, d = q[at : at + block], _squares(q[at : at + block], s)
-        d[ids[at : at + block, None] == others[None, :]] = np.inf
-        take = min(k, len(others))
-        limit = np.partition(d, take - 1, axis=1)[:, take - 1]
-        if not np.isfinite(limit).all():
-            limit = np.where(np.isfinite(limit), limit, d[np.isfinite(d)].max(initial=0.0))
-        row, col = np.nonzero(d <= limit[:, None] + 1e-9 * (1.0 + limit[:, None]))
-        exact = ((part[row] - s[col]) ** 2).sum(1)
+        part = slice(at, at + block)
+        d = _squares(near_q[part], near_s)
+        # What single precision may be off by.
+        margin = (4 * (q.shape[1] + 8) * 2.0**-24) * (size_q[part] + top) + 1e-30
+        own = np.searchsorted(others, ids[part])
+        own_row = np.flatnonzero(others[np.minimum(own, len(others) - 1)] == ids[part])
+        d[own_row, own[own_row]] = np.inf
+        limit = (bound[part] + SLACK) ** 2
+        free = np.flatnonzero(np.isinf(limit))
+        if len(free) and len(others) > k:
+            limit[free] = np.partition(d[free], k - 1, axis=1)[:, k - 1]
+        row, col = np.nonzero(d <= (limit + 2 * margin)[:, None].astype(np.float32))
+        ok = ids[part][row] != others[col]
+        row, col = row[ok], col[ok]
+        exact = ((q[part][row] - s[col]) ** 2).sum(1)
         by = np.lexsort((others[col], exact, row))
         row, col, exact = row[by], col[by], exact[by]
-        first = np.searchsorted(row, np.arange(len(part)))
-        rank = np.arange(len(row)) - first[row]
-        keep = rank < k
-        yield ids[at : at + block][row[keep]], rank[keep] + 1, others[col[keep]], np.sqrt(exact[keep])
+        first = np.searchsorted(row, np.arange(len(q[part])))
+        keep = np.arange(len(row)) - first[row] < k
+        yield at + row[keep], others[col[keep]], np.sqrt(exact[keep])
 
 
-def kth_inside(v: np.ndarray, k: int) -> float:
-    """The largest k-th neighbour distance among v; infinite if v has too few."""
-    if len(v) <= k:
-        return math.inf
-    most = 0.0
-    for at in range(0, len(v), 512):
-        d = np.partition(_squares(v[at : at + 512], v), k, axis=1)[:, k]
-        most = max(most, float(d.max()))
-    return math.sqrt(most) + SLACK
+def _lists(rows: int, parts: list[tuple[np.ndarray, ...]]) -> tuple[list[list[dict]], np.ndarray, np.ndarray]:
+    """Neighbours of each query as lists, how many, and the distance of the last."""
+    at, near, d = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    off = np.searchsorted(at, np.arange(rows + 1))
+    pairs = [{"distance": x, "neighbor_id": i} for x, i in zip(d.tolist(), near.tolist())]
+    many = np.diff(off)
+    last = np.where(many > 0, d[np.maximum(off[1:] - 1, 0)], np.inf) if len(d) else np.full(rows, np.inf)
+    return [pairs[a:b] for a, b in zip(off[:-1], off[1:])], many, last
 
 
-def knn_join(vectors: DataFrame, k: int = K, group_rows: int = GROUP_ROWS) -> DataFrame:
+def knn_join(vectors: DataFrame, k: int = K, group_rows: int | None = None) -> DataFrame:
     """(vec_id, rank from 1, neighbor_id, distance) for the k nearest others of every vector."""
     spark = vectors.sparkSession
     rows, dim = clean(vectors)
     if not dim:
         return spark.createDataFrame([], SCHEMA)
-    rows = durable(rows)
+    rows = durable(rows.mapInArrow(_packed, "vec_id long, v binary"))
     n = rows.count()
-    wanted = max(1, math.isqrt(n) // 2)
-    pivots = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()], np.float64).reshape(-1, dim)
-    pivots = np.unique(pivots, axis=0)
-    count = len(pivots)
-    group = grouped(pivots, max(1, math.ceil(n / group_rows)))
+    wanted = min(PIVOTS, max(1, math.isqrt(n) // 2))
+    pivots = np.unique(matrix([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()], dim), axis=0)
     shared = spark.sparkContext.broadcast(pivots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                v = _matrix(part.column(1), dim)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                v = matrix(part.column(1).to_pylist(), dim)
                 home = _squares(v, p).argmin(1)
                 yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(np.sqrt(((v - p[home]) ** 2).sum(1))), part.column(0), part.column(1)], names=["cell", "d", "vec_id", "v"])
 
-    placed = durable(rows.select("vec_id", "v").mapInArrow(assign, "cell int, d double, vec_id long, v array<double>"))
-
-    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        return pd.DataFrame({"cell": [int(pdf["cell"].iloc[0])], "radius": [float(pdf["d"].max())], "inside": [kth_inside(v, k)], "near": [np.sort(pdf["d"].to_numpy())[: k + 1].tolist()]})
-
-    stats = placed.groupBy("cell").applyInPandas(summary, "cell int, radius double, inside double, near array<double>").toPandas()
-    radius, bound, live = np.zeros(count), np.full(count, -math.inf), np.zeros(count, bool)
-    near = np.full((count, k + 1), math.inf)
-    for r in stats.itertuples():
-        live[r.cell], radius[r.cell], bound[r.cell] = True, r.radius, r.inside
-        near[r.cell, : len(r.near)] = r.near
-    apart = np.sqrt(_squares(pivots, pivots))
-    for i in np.flatnonzero(live):
-        close = np.argsort(apart[i], kind="stable")[:64]
-        reach = np.sort((apart[i, close][:, None] + near[close]).ravel())
-        if len(reach) > k:
-            bound[i] = min(bound[i], radius[i] + reach[k] + SLACK)
-    facts = spark.sparkContext.broadcast((pivots, apart, radius, bound, live, group))
+    placed = durable(rows.mapInArrow(lean(assign), "cell int, d double, vec_id long, v binary"))
+    held = np.zeros(len(pivots), np.int64)
+    for r in placed.groupBy("cell").count().collect():
+        held[r["cell"]] = r["count"]
+    first, many = grouped(pivots, held, group_rows or min(MOST_ROWS, max(LEAST_ROWS, -(-n // GROUPS))))
+    groups = spark.sparkContext.broadcast((first, many))
+    table = spark.createDataFrame([(c, int(first[c]), int(many[c])) for c in range(len(pivots))], "cell int, first int, many int")
+    # At most PIVOTS rows.
+    grouped_rows = placed.join(F.broadcast(table), "cell").withColumn("g", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("many"))).cast("int")).drop("first", "many")
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, ids = matrix(pdf["v"], dim), pdf["vec_id"].to_numpy()
+        near, found, last = _lists(len(ids), list(nearest(ids, v, ids, v, k)))
+        return pd.DataFrame({"g": pdf["g"], "cell": pdf["cell"], "d": pdf["d"], "vec_id": ids, "v": pdf["v"], "near": pd.Series(near, dtype=object), "bound": np.where(found < k, np.inf, last)})
+
+    solved = durable(grouped_rows.groupBy("g").applyInPandas(inside, f"g int, cell int, d double, vec_id long, v binary, {_FOUND.split(', ', 1)[1]}, bound double"))
+    radius, bound = np.zeros(len(pivots)), np.full(len(pivots), -math.inf)
+    for r in solved.groupBy("cell").agg(F.max("d").alias("radius"), F.max("bound").alias("bound")).collect():
+        radius[r["cell"]], bound[r["cell"]] = r["radius"], r["bound"]
+    facts = spark.sparkContext.broadcast((radius, bound))
+
+    def needs(v: np.ndarray, home: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        """Whether a cell can need a vector: by the ball around its pivot, and by the plane between the pivots."""
+        radius, bound = facts.value
+        d2 = _squares(v, shared.value)
+        gap = apart[home]
+        own = d2[np.arange(len(home)), home][:, None]
+        # From a point of another cell to a vector of this one it is at least as far as from the plane between them.
+        plane = np.where(gap > 0, (d2 - own) / (2.0 * np.where(gap > 0, gap, 1.0)), 0.0)
+        return (np.sqrt(d2) - radius <= bound + SLACK) & (plane <= bound + SLACK)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, apart, radius, bound, live, group = facts.value
+        """(to, g, vec_id, v): the other groups that each vector is sent to."""
+        first, many = groups.value
+        apart = np.sqrt(_squares(shared.value, shared.value))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                home = part.column(0).to_numpy()
-                d2 = _squares(_matrix(part.column(3), dim), p)
-                own = d2[np.arange(len(home)), home][:, None]
-                gap = apart[home]
-                plane = np.where(gap > 0, (d2 - own) / (2.0 * np.where(gap > 0, gap, 1.0)), 0.0)
-                needs = live & (np.sqrt(d2) - radius <= bound + SLACK) & (plane <= bound + SLACK)
-                to = np.zeros((len(home), int(group.max()) + 1), bool)
-                row, col = np.nonzero(needs)
-                to[row, group[col]] = True
-                to[np.arange(len(home)), group[home]] = True
-                row, g = np.nonzero(to)
-                yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(g == group[home[row]]), part.column(2).take(pa.array(row)), part.column(3).take(pa.array(row))], names=["g", "asks", "vec_id", "v"])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, ids, asks = np.stack(pdf["v"].to_numpy()).astype(np.float64), pdf["vec_id"].to_numpy(), pdf["asks"].to_numpy()
-        parts = list(nearest(ids[asks], v[asks], ids, v, k))
-        return pd.DataFrame({c: np.concatenate([x[i] for x in parts]) if parts else [] for i, c in enumerate(("vec_id", "rank", "neighbor_id", "distance"))})
-
-    sent = placed.mapInArrow(replicate, "g int, asks boolean, vec_id long, v array<double>")
-    return sent.groupBy("g").applyInPandas(solve, SCHEMA)
-
-
-def grouped(pivots: np.ndarray, groups: int) -> np.ndarray:
-    """A group for each pivot: near pivots together, about as many in each."""
-    out, left = np.zeros(len(pivots), np.int64), np.arange(len(pivots))
-    size = math.ceil(len(pivots) / groups)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                g = part.column(0).to_numpy()
+                wanted = needs(matrix(part.column(3).to_pylist(), dim), part.column(1).to_numpy(), apart)
+                to = np.zeros((len(g), int((first + many).max())), bool)
+                for j in range(int(many.max())):
+                    cells = np.flatnonzero(many > j)
+                    row, col = np.nonzero(wanted[:, cells])
+                    to[row, first[cells[col]] + j] = True
+                to[np.arange(len(g)), g] = False
+                row, there = np.nonzero(to)
+                yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(g[row]), part.column(2).take(pa.array(row)), part.column(3).take(pa.array(row))], names=["to", "g", "vec_id", "v"])
+
+    sent = solved.select("g", "cell", "vec_id", "v").mapInArrow(lean(replicate), "to int, g int, vec_id long, v binary")
+    # Which groups meet, so that queries go only where something waits for them; a row for each two groups at most.
+    meets = small(durable(sent.select("to", "g").distinct()))
+    asks = solved.select(F.col("g").alias("to"), "vec_id", "v", "bound").join(meets, "to").select("to", "g", "vec_id", "v", "bound")
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        ask = pdf["bound"].notna().to_numpy()
+        q, s = matrix(pdf["v"][ask], dim), matrix(pdf["v"][~ask], dim)
+        ids, limit = pdf["vec_id"].to_numpy()[ask], pdf["bound"].to_numpy()[ask]
+        near, found, _ = _lists(len(ids), list(nearest(ids, q, pdf["vec_id"].to_numpy()[~ask], s, k, limit)))
+        some = found > 0
+        return pd.DataFrame({"vec_id": ids[some], "near": pd.Series([x for x, y in zip(near, some) if y], dtype=object)})
+
+    more = sent.withColumn("bound", F.lit(None).cast("double")).unionByName(asks).groupBy("to", "g").applyInPandas(across, _FOUND)
+    best = solved.select("vec_id", "near").unionByName(more).groupBy("vec_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    return best.select("vec_id", F.posexplode("near").alias("at", "x")).select("vec_id", (F.col("at") + 1).cast("int").alias("rank"), "x.neighbor_id", "x.distance")
+
+
+def grouped(pivots: np.ndarray, held: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell the first of its groups and how many it has: near cells together up to so many rows, a cell of more rows alone in several."""
+    first, many = np.zeros(len(held), np.int64), np.ones(len(held), np.int64)
+    big = held > rows
+    many[big] = -(-held[big] // rows)
     g = 0
+    for c in np.flatnonzero(big):
+        first[c] = g
+        g += many[c]
+    left = np.flatnonzero(~big)
     while len(left):
-        d = _squares(pivots[left[:1]], pivots[left])[0]
-        take = np.argsort(d, kind="stable")[:size]
-        out[left[take]] = g
-        left = np.delete(left, take)
+        by = left[np.argsort(_squares(pivots[left[:1]], pivots[left])[0], kind="stable")]
+        take = by[: max(1, int(np.searchsorted(np.cumsum(held[by]), rows, "right")))]
+        first[take] = g
+        left = np.setdiff1d(left, take)
         g += 1
-    return out
+    return first, many
 
 
 def sql(k: int = K) -> str:
