@@ -9,9 +9,12 @@ left out of later rounds); the common prefixes of neighbours follow by Kasai's r
 less than the one before it) in its permuted form, so that only suffixes where the rule gives no value are compared.
 Neighbours that share K words are one window; only its first copy in the shard goes on.
 
-Across shards: runs of windows go, packed, to the partition of their minimizer (the least 25-word hash in a window,
+Across shards: runs of windows go, packed, to the part of their minimizer (the least 25-word hash in a window,
 which equal windows have in common); there the fingerprints of all shards are merged and each shard's windows are found
-by binary search. About 10 bytes a word are shuffled, texts never. Fingerprints have 64 bits.
+by binary search. About 10 bytes a word are shuffled, texts never; the suffix arrays themselves stay in their shards (README).
+There is a part for every PART_BYTES of text, so its size does not grow with the corpus. Fingerprints have 64 bits and only
+those of one part are compared: among W words about W * W / (2 ** 65 * parts) windows are taken for equal falsely, 2 of
+16,000,000,000,000 at 100 TB.
 
 Cases: null texts and texts of fewer than K words have no windows; rows with a null doc_id are left out of the search
 and kept whole; rows that share a doc_id name the same places, so a window at the same place of both is no repeat;
@@ -24,15 +27,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import NONSPACE, _power, durable, frugal, mix, shuffle_partitions, slices, small
+from kindred.llm.common import NONSPACE, column, durable, frugal, lean, mix, power, slices, small
 
 K = 50
 SHARD_BYTES = 2 << 20
+PART_BYTES = 16 << 20
+#: Partitions of the merge; beyond them a task merges several parts, one after another.
+MOST_TASKS = 50_000
 _STEP = 0xC2B2AE3D27D4EB4F
 _BACK = pow(_STEP, -1, 1 << 64)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -68,8 +73,8 @@ class Prefix:
 
     def __init__(self, h: np.ndarray):
         self.n = len(h)
-        self.sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _power(_STEP, self.n + 1)[: self.n], dtype=np.uint64)])
-        self.back = _power(_BACK, self.n + 1)[: self.n + 1]
+        self.sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power(_STEP, self.n + 1)[: self.n], dtype=np.uint64)])
+        self.back = power(_BACK, self.n + 1)[: self.n + 1]
 
     def of(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
         return (self.sum[start + size] - self.sum[start]) * self.back[start]
@@ -171,7 +176,7 @@ def _ranges(owner: np.ndarray, start: np.ndarray, k: int) -> tuple[np.ndarray, n
     return owner[at], start[at], start[last] + k
 
 
-def _shards(k: int, partitions: int, shard_bytes: int):
+def _shards(k: int, parts: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch]).sort_by("doc_id").combine_chunks()
@@ -181,47 +186,46 @@ def _shards(k: int, partitions: int, shard_bytes: int):
                 if not len(owner):
                     continue
                 o, s, e = _ranges(owner[repeated], place[repeated], k)
-                rows = [(-1 - int(ids[0] % partitions), ids[o].tobytes(), s.astype(np.int32).tobytes(), e.astype(np.int32).tobytes(), b"")] if len(o) else []
+                # What is known to repeat already goes along to some part, without fingerprints.
+                rows = [(int(ids[0] % parts), ids[o].tobytes(), s.astype(np.int32).tobytes(), e.astype(np.int32).tobytes(), b"")] if len(o) else []
                 owner, place, fp, least = owner[~repeated], place[~repeated], fp[~repeated], least[~repeated]
                 if len(owner):
-                    to = (mix(least) % np.uint64(partitions)).astype(np.int64)
+                    to = (mix(least) % np.uint64(parts)).astype(np.int64)
                     new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1) | (to[1:] != to[:-1])])
                     at = np.flatnonzero(new)
                     many = np.diff(np.append(at, len(owner)))
                     by = np.argsort(to[at], kind="stable")
                     run_to, run_at, run_n = to[at][by], at[by], many[by]
-                    cut = np.searchsorted(run_to, np.arange(partitions + 1))
-                    for p in np.flatnonzero(np.diff(cut)):
-                        a, m = run_at[cut[p] : cut[p + 1]], run_n[cut[p] : cut[p + 1]]
+                    ends = np.append(np.flatnonzero(run_to[1:] != run_to[:-1]) + 1, len(run_to))
+                    for x, y in zip(np.concatenate([[0], ends[:-1]]), ends):
+                        a, m = run_at[x:y], run_n[x:y]
                         to_take = np.repeat(a - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
-                        rows.append((int(p), ids[owner[a]].tobytes(), place[a].astype(np.int32).tobytes(), m.astype(np.int32).tobytes(), fp[to_take].tobytes()))
+                        rows.append((int(run_to[x]), ids[owner[a]].tobytes(), place[a].astype(np.int32).tobytes(), m.astype(np.int32).tobytes(), fp[to_take].tobytes()))
                 if rows:
                     cols = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "docs", "starts", "sizes", "prints"])
 
-    return run
+    return lean(run)
 
 
-def _merge(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Repeats among the windows of one partition. Each row is what one shard sent."""
-        if len(pdf) and pdf["part"].iloc[0] < 0:
-            d, s, e = (np.concatenate([np.frombuffer(b, kind) for b in pdf[c]]) for c, kind in (("docs", np.int64), ("starts", np.int32), ("sizes", np.int32)))
-            return pd.DataFrame({"doc_id": d, "first": s, "upto": e})
-        every = np.sort(np.frombuffer(b"".join(pdf["prints"]), np.uint64))
+def _merged(rows: list[tuple], k: int) -> tuple[np.ndarray, ...]:
+    """(document, first, last plus one) of the repeats of one part. Each row is what one shard sent."""
+    none = np.zeros(0, np.int64)
+    prints = [(np.frombuffer(r[0], np.int64), np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.uint64)) for r in rows if r[3]]
+    out = [(np.frombuffer(r[0], np.int64), np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.int32)) for r in rows if not r[3]]
+    if prints:
+        every = np.concatenate([x[3] for x in prints])
+        every.sort()
         known = np.unique(every[1:][every[1:] == every[:-1]])
         del every
-        out = []
-        if len(known):
-            hits = []
-            for docs, starts, sizes, prints in zip(pdf["docs"], pdf["starts"], pdf["sizes"], pdf["prints"]):
-                fp = np.frombuffer(prints, np.uint64)
-                k_at = np.minimum(np.searchsorted(known, fp), len(known) - 1)
-                there = np.flatnonzero(known[k_at] == fp)
-                upto = np.cumsum(np.frombuffer(sizes, np.int32))
-                run = np.searchsorted(upto, there, "right")
-                step = there - np.concatenate([[0], upto])[run]
-                hits.append((k_at[there], np.frombuffer(docs, np.int64)[run], np.frombuffer(starts, np.int32)[run] + step))
+        hits = []
+        for docs, starts, sizes, fp in prints if len(known) else ():
+            at = np.minimum(np.searchsorted(known, fp), len(known) - 1)
+            there = np.flatnonzero(known[at] == fp)
+            upto = np.cumsum(sizes)
+            run = np.searchsorted(upto, there, "right")
+            hits.append((at[there], docs[run], starts[run] + there - np.concatenate([[0], upto])[run]))
+        if hits:
             g, doc, place = (np.concatenate(x) for x in zip(*hits))
             by = np.lexsort((place, doc, g))
             g, doc, place = g[by], doc[by], place[by]
@@ -229,16 +233,34 @@ def _merge(k: int):
             later = (doc != doc[begin]) | (place != place[begin])
             doc, place = doc[later], place[later]
             by = np.lexsort((place, doc))
-            out = _ranges(doc[by], place[by].astype(np.int64), k)
-        return pd.DataFrame({"doc_id": out[0], "first": out[1].astype(np.int32), "upto": out[2].astype(np.int32)} if len(out) else {"doc_id": np.zeros(0, np.int64), "first": np.zeros(0, np.int32), "upto": np.zeros(0, np.int32)})
+            out.append(_ranges(doc[by], place[by].astype(np.int64), k))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (none, none, none)
+
 
-    return run
+def _merge(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come with those of one part next to one another; a part is held at a time."""
+        part, rows = None, []
 
+        def done() -> Iterator[pa.RecordBatch]:
+            d, s, e = _merged(rows, k)
+            rows.clear()
+            if len(d):
+                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["doc_id", "first", "upto"])
 
-def _union(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Merged spans of many documents."""
-    pdf = pdf.sort_values(["doc_id", "first"], kind="stable")
-    doc, first, upto = pdf["doc_id"].to_numpy(), pdf["first"].to_numpy().astype(np.int64), pdf["upto"].to_numpy().astype(np.int64)
+        for batch in batches:
+            for p, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if p != part:
+                    yield from done()
+                    part = p
+                rows.append(row)
+        yield from done()
+
+    return lean(run)
+
+
+def _union(doc: np.ndarray, first: np.ndarray, upto: np.ndarray) -> pa.RecordBatch:
+    """Merged spans of whole documents, from spans sorted by document and first word."""
     new_doc = np.concatenate([[True], doc[1:] != doc[:-1]])
     shift = np.cumsum(new_doc) << 32
     reach = np.maximum.accumulate(upto + shift)
@@ -247,19 +269,36 @@ def _union(pdf: pd.DataFrame) -> pd.DataFrame:
     last = np.append(at[1:], len(doc)) - 1
     d, a, b = doc[at], first[at], reach[last] - shift[last]
     begin = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-    end = np.append(begin[1:], len(d))
-    return pd.DataFrame({"doc_id": d[begin], "firsts": [a[x:y].astype(np.int32) for x, y in zip(begin, end)], "uptos": [b[x:y].astype(np.int32) for x, y in zip(begin, end)], "n_cut": (np.add.reduceat(b - a, begin)).astype(np.int64)})
+    off = pa.array(np.append(begin, len(d)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(off, pa.array(x.astype(np.int32))) for x in (a, b)]
+    return pa.RecordBatch.from_arrays([pa.array(d[begin]), *lists, pa.array(np.add.reduceat(b - a, begin))], names=["doc_id", "firsts", "uptos", "n_cut"])
+
+
+def _unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans come sorted by document; those of the last one wait for the next batch."""
+    rest = [np.zeros(0, np.int64)] * 3
+    for batch in batches:
+        doc, first, upto = (np.concatenate([r, c.to_numpy().astype(np.int64)]) for r, c in zip(rest, batch.columns))
+        n = int(np.searchsorted(doc, doc[-1])) if len(doc) else 0
+        if n:
+            yield _union(doc[:n], first[:n], upto[:n])
+        rest = [doc[n:], first[n:], upto[n:]]
+    if len(rest[0]):
+        yield _union(*rest)
 
 
-def repeats(docs: DataFrame, k: int = K, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeats(docs: DataFrame, k: int = K, shard_bytes: int = SHARD_BYTES, part_bytes: int = PART_BYTES, most_tasks: int = MOST_TASKS) -> DataFrame:
     """(doc_id, firsts, uptos, n_cut): for each document with repeats the words firsts[i]..uptos[i] - 1 (from 0) that are cut, and how many."""
-    spark = docs.sparkSession
-    partitions = shuffle_partitions(spark)
     rows = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    packed = rows.mapInArrow(_shards(k, partitions, shard_bytes), "part int, docs binary, starts binary, sizes binary, prints binary")
-    found = packed.groupBy("part").applyInPandas(_merge(k), "doc_id long, first int, upto int")
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(4 * partitions)).cast("int")
-    return found.groupBy(bucket).applyInPandas(_union, "doc_id long, firsts array<int>, uptos array<int>, n_cut long")
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = max(1, -(-size // part_bytes))
+    packed = rows.mapInArrow(_shards(k, parts, shard_bytes), "part int, docs binary, starts binary, sizes binary, prints binary")
+    tasks = min(parts, most_tasks)
+    packed = packed.repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int"))
+    if parts > tasks:
+        packed = packed.sortWithinPartitions("part")
+    found = packed.mapInArrow(_merge(k), "doc_id long, first int, upto int")
+    return found.repartition("doc_id").sortWithinPartitions("doc_id", "first").mapInArrow(_unions, "doc_id long, firsts array<int>, uptos array<int>, n_cut long")
 
 
 def _cut(names: list[str]):
@@ -288,14 +327,14 @@ def _cut(names: list[str]):
             out = pa.RecordBatch.from_arrays([new if i == at_text else c for i, c in enumerate(columns)], names=names)
             yield out if keep.all() else out.filter(pa.array(keep))
 
-    return run
+    return lean(run)
 
 
 def without_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     """docs with the repeats cut out of text, and n_chars made to fit; a document of which no word is left goes."""
     spans = small(durable(repeats(docs, k).select("doc_id", "firsts", "uptos")))
     names = docs.columns
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("d"))
+    whole = frugal(docs).select(F.struct(*(column(c) for c in names)).alias("d"))
     out = whole.join(spans, F.col("d.doc_id").cast("long") == spans["doc_id"], "left")
     out = out.select("d", "firsts", "uptos").mapInArrow(_cut(names), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
