@@ -6,14 +6,16 @@ segmented once, and ids come back to their places by position. Nothing is shuffl
 
 Cases: a null text gives null ids, null count; an empty text gives no ids; several spaces in a row stay with the word
 after them; a marker character inside the text counts as a space, as in the model itself, so such a text and only such
-a text does not come back byte for byte (round_trip is then false). Repeated rows give equal rows; other columns are
-not read. Very long texts are processed whole.
+a text does not come back byte for byte (round_trip is then false). Repeated rows give equal rows; an empty table
+gives an empty result; other columns are not read. Very long texts are processed whole.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import frugal
+from kindred.llm.common import frugal, lean
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "\u2581"
@@ -36,10 +38,16 @@ def crossing(model) -> list[str]:
     return [p for p in pieces if MARK in p.lstrip(MARK)]
 
 
-def load(path: str):
+def shipped(df: DataFrame, path: str):
+    """A broadcast of the model's bytes: the path need exist on the driver only."""
+    return df.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
+
+
+def load(model: str | bytes):
+    """A model from its path or its bytes."""
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = sentencepiece.SentencePieceProcessor(model_proto=model) if isinstance(model, bytes) else sentencepiece.SentencePieceProcessor(model_file=model)
     if bad := crossing(model):
         raise ValueError(f"pieces cross white space, so chunks are not independent: {bad[:3]}")
     return model
@@ -54,7 +62,7 @@ class Table:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids: list[list[int]] = []
+        self.ids, self.at = array("i"), array("q", [0])
 
     def segment(self, chunks: list[str]) -> list[list[int]]:
         """Ids of chunks that begin with a space. The model puts a marker before what it is given, so one space is left off."""
@@ -68,16 +76,14 @@ class Table:
             self.clear()
         new = [w for w in words if w not in self.place]
         for w, ids in zip(new, self.segment(new)):
-            self.place[w] = len(self.ids)
-            self.ids.append(ids)
-        mine = [self.ids[self.place[w]] for w in words]
-        size = np.fromiter(map(len, mine), np.int64, len(mine))
-        flat = np.fromiter((i for ids in mine for i in ids), np.int32, int(size.sum()))
-        at = np.concatenate([[0], np.cumsum(size)])
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        n = size[code]
+            self.place[w] = len(self.place)
+            self.ids.extend(ids)
+            self.at.append(len(self.ids))
+        mine = np.fromiter((self.place[w] for w in words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
+        at, flat = np.array(self.at), np.array(self.ids, np.int32)
+        n = at[mine + 1] - at[mine]
         to = np.concatenate([[0], np.cumsum(n)])
-        return n, flat[np.repeat(at[:-1][code] - to[:-1], n) + np.arange(to[-1])]
+        return n, flat[np.repeat(at[mine] - to[:-1], n) + np.arange(to[-1])]
 
 
 def chunks_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -130,9 +136,9 @@ class Decoder:
 SCHEMA = "doc_id long, ids array<int>, n_tokens int, round_trip boolean"
 
 
-def _encode(path: str):
+def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path)
+        model = load(shared.value)
         table, decoder = Table(model), Decoder(model)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
@@ -142,26 +148,26 @@ def _encode(path: str):
                 back = pa.array(decoder.column(ids), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pc.list_value_length(ids).cast(pa.int32()), pc.equal(back, texts.cast(pa.binary()))], names=["doc_id", "ids", "n_tokens", "round_trip"])
 
-    return run
+    return lean(run)
 
 
 def encode(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     """(doc_id, ids, n_tokens, round_trip) of every row. round_trip says that decoding the ids gives the text again."""
-    return frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(model_path), SCHEMA)
+    return frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(shipped(docs, model_path)), SCHEMA)
 
 
-def _decode(path: str):
+def _decode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(load(path))
+        decoder = Decoder(load(shared.value))
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 texts = [None if b is None else b.decode("utf-8", "replace") for b in decoder.column(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return run
+    return lean(run)
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     """(doc_id, text) from (doc_id, ids); bytes that are no UTF-8 become the replacement character."""
-    return frugal(encoded).select("doc_id", "ids").mapInArrow(_decode(model_path), "doc_id long, text string")
+    return frugal(encoded).select("doc_id", "ids").mapInArrow(_decode(shipped(encoded, model_path)), "doc_id long, text string")
