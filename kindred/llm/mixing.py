@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import durable, small
+from kindred.llm.common import column, durable, lean, small
 
 ALPHA = 0.7
 SEED = "mix-1"
@@ -74,7 +74,7 @@ def cuts(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: flo
     goal = small(durable(goal))
     keyed = slim.join(goal, "s").select("s", key(F.col("doc_id"), F.col("epochs"), seed).alias("k"), "n_tokens")
     ranged = keyed.repartitionByRange("s", "k").sortWithinPartitions("s", "k").withColumn("p", F.spark_partition_id())
-    run = durable(ranged.select("s", "k", "n_tokens", "p").mapInArrow(_running, "s string, k string, upto long, p int"))
+    run = durable(ranged.select("s", "k", "n_tokens", "p").mapInArrow(lean(_running), "s string, k string, upto long, p int"))
     # Ranges are in order, so what comes before a row of a source is what its earlier ranges hold of that source.
     earlier = Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     before = run.groupBy("s", "p").agg(F.max("upto").alias("held")).select("s", "p", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"))
@@ -83,11 +83,11 @@ def cuts(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: flo
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = ALPHA, total: int | None = None, seed: str = SEED, epoch: str | None = "mix_epoch") -> DataFrame:
-    """The documents of the mixture with their columns and the epoch (from 0), if it is to have a name: a document stands once for each epoch that takes it."""
+    """The documents of the mixture with their columns and the epoch (from 0), if it is to have a name: a document stands once for each epoch that takes it. A column of docs that has the epoch's name gives way to it."""
     at = durable(cuts(docs, weights, alpha, total, seed))
     s = F.coalesce(F.col("source").cast("string"), F.lit(NONE))
-    columns = docs.columns
-    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_d"), s.alias("_s"), F.col("doc_id").alias("_id")).join(small(at.withColumnRenamed("s", "_s")), "_s")
+    columns = [c for c in docs.columns if c != epoch]
+    out = docs.select(F.struct(*(column(c) for c in columns)).alias("_d"), s.alias("_s"), F.col("doc_id").alias("_id")).join(small(at.withColumnRenamed("s", "_s")), "_s")
     n = F.col("epochs") + F.when(F.col("cut").isNotNull() & (key(F.col("_id"), F.col("epochs"), seed) <= F.col("cut")), 1).otherwise(0)
     return out.withColumn("_n", n.cast("int")).where("_n > 0").select("_d", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_e")).select(*(F.col("_d")[c].alias(c) for c in columns), *([F.col("_e").alias(epoch)] if epoch else []))
 

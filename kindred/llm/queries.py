@@ -27,6 +27,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.groups(read(spark, sf_dir, "documents"))
 
 
+def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.pairs(read(spark, sf_dir, "documents")).withColumn("jaccard", F.round("jaccard", 9))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(read(spark, sf_dir, "documents"))
 
@@ -52,8 +56,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith("op")} | {"jaccard_pairs": jaccard_pairs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard_join": jaccard_join.sql(), "op7_mixing": mixing.sql(), "op8_topk": knn.sql(), "op9_suffix_array_dedup": suffix_dedup.sql(), "op10_url_filter": url_filter.sql()}
+    return {"op4_ngram_jaccard_join": jaccard_join.sql(), "jaccard_pairs": jaccard_join.sql_pairs(), "op7_mixing": mixing.sql(), "op8_topk": knn.sql(), "op9_suffix_array_dedup": suffix_dedup.sql(), "op10_url_filter": url_filter.sql()}
