@@ -1,4 +1,4 @@
-"""Trigram and bigram similarity as column expressions. Grams are arrays, to be computed once per record and not per pair."""
+"""Trigram and bigram similarity as column expressions. Sets of grams are arrays of numbers, to be made once per record and not per pair."""
 
 from __future__ import annotations
 
@@ -6,12 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def code(gram: Column) -> Column:
+    """A text of up to three characters as a number: texts are equal if and only if their numbers are."""
+    at = lambda k: F.ascii(F.substring(gram, k, 1)).cast("long")
+    return F.shiftleft(at(1), 42).bitwiseOR(F.shiftleft(at(2), 21)).bitwiseOR(at(3))
+
+
 def trigrams(c: Column) -> Column:
     """Distinct 3-grams of the words of a folded text, each word padded by two spaces before and one after."""
     words = F.filter(F.split(c, "[^\\p{L}\\p{N}]+"), lambda w: w != "")
     return F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))))
 
 
+def trigram_codes(c: Column) -> Column:
+    return F.transform(trigrams(c), code)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard of two arrays of distinct values; 0 if both are empty."""
     both = F.size(F.array_intersect(a, b))
@@ -27,8 +37,22 @@ def bigrams(c: Column) -> Column:
     return F.when(F.length(c) >= 2, F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
 
 
+def bigram_codes(c: Column) -> Column:
+    """The multiset of bigrams as a set: the number of each and which occurrence it is, so that shared occurrences are what two sets share."""
+    return _tagged(F.transform(bigrams(c), code))
+
+
+def _tagged(x: Column) -> Column:
+    # Sorted, equal numbers stand together; the place within them is the distance from their first.
+    s = F.sort_array(x)
+    return F.transform(s, lambda v, i: v + (i + 1 - F.array_position(s, v)))
+
+
+def dice_of(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """Dice of the texts a and b from their bigram_codes x and y; 1 for equal texts, else 0 for texts under two characters."""
+    return F.when(a == b, F.lit(1.0)).when((F.length(a) < 2) | (F.length(b) < 2), F.lit(0.0)).otherwise(F.lit(2.0) * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
+
+
 def dice(a: Column, b: Column) -> Column:
-    """Dice coefficient of the bigram multisets; 1 for equal texts, else 0 for texts under two characters."""
-    x, y = bigrams(a), bigrams(b)
-    shared = F.aggregate(F.array_intersect(x, y), F.lit(0), lambda n, g: n + F.least(F.size(F.filter(x, lambda v: v == g)), F.size(F.filter(y, lambda v: v == g))))
-    return F.when(a == b, F.lit(1.0)).when((F.length(a) < 2) | (F.length(b) < 2), F.lit(0.0)).otherwise(F.lit(2.0) * shared / (F.size(x) + F.size(y)))
+    """Dice coefficient of the bigram multisets, for a single pair; where a text meets many others, make bigram_codes once and use dice_of."""
+    return dice_of(a, b, bigram_codes(a), bigram_codes(b))

@@ -1,17 +1,16 @@
 """Blocked fuzzy self-join: pairs of similar names that share a block.
 
-Grams are computed once per distinct (block, name), not per pair or record; the join is on the block, its residual keeps one
-half of the matrix and drops pairs whose gram counts alone rule out the threshold; records come in again at the end.
+Grams are computed once per distinct (block, name), not per pair or record; names that share a rare gram of their block meet
+(setjoin), never all names of a block; records come in again at the end.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.similarity import jaccard, trigrams
+from kindred.functions.similarity import trigram_codes
+from kindred.operators.setjoin import overlaps
 from kindred.spec import EntitySpec
 
 THRESHOLD, LIMIT = 0.4, 200
@@ -42,16 +41,15 @@ def similar_pairs(rows: DataFrame, spec: EntitySpec, threshold: float = THRESHOL
     rows = rows.where(F.col("block").isNotNull() & F.col("name").isNotNull())
     if parent is not None:
         rows = rows.where(F.col("parent").cast("string") == F.lit(str(parent)))
-    n = len(spec.variants)
     names = rows.select("block", "name").distinct()
-    for k, form in enumerate(spec.variants):
-        names = names.withColumn(f"g{k}", trigrams(form(F.col("name"))))
-    left = names.select("block", F.col("name").alias("n1"), *(F.col(f"g{k}").alias(f"a{k}") for k in range(n)))
-    right = names.select("block", F.col("name").alias("n2"), *(F.col(f"g{k}").alias(f"b{k}") for k in range(n)))
-    fits = reduce(lambda x, y: x | y, (F.least(F.size(f"a{k}"), F.size(f"b{k}")) > threshold * F.greatest(F.size(f"a{k}"), F.size(f"b{k}")) for k in range(n)))
-    scores = [jaccard(F.col(f"a{k}"), F.col(f"b{k}")) for k in range(n)]
-    score = scores[0] if n == 1 else F.greatest(*scores)
-    kin = left.join(right, "block").where((F.col("n1") <= F.col("n2")) & fits).select("block", "n1", "n2", score.alias("score")).where(F.col("score") > threshold)
+    found = None
+    for form in spec.variants:
+        sets = names.select("block", F.col("name").alias("id"), trigram_codes(form(F.col("name"))).alias("g"))
+        near = overlaps(sets, None, threshold, F.col("id1") <= F.col("id2"))
+        score = F.col("both") / (F.col("n1") + F.col("n2") - F.col("both"))
+        part = near.select("block", F.col("id1").alias("n1"), F.col("id2").alias("n2"), score.alias("score")).where(F.col("score") > threshold)
+        found = part if found is None else found.unionByName(part)
+    kin = found if len(spec.variants) == 1 else found.groupBy("block", "n1", "n2").agg(F.max("score").alias("score"))
     x = rows.select("block", F.col("name").alias("n1"), F.col("id").alias("i1"), F.col("parent"))
     y = rows.select("block", F.col("name").alias("n2"), F.col("id").alias("i2"))
     out = kin.join(x, ["block", "n1"]).join(y, ["block", "n2"]).where(F.when(F.col("n1") == F.col("n2"), F.col("i1") < F.col("i2")).otherwise(F.col("i1") != F.col("i2")))

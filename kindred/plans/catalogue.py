@@ -183,9 +183,9 @@ def text_first_object(spark, d):
 
 @query(f"WITH n AS (SELECT DISTINCT p_name AS name, p_brand AS block FROM part) SELECT a.block, a.name AS n1, b.name AS n2, {duck.dice(duck.fold('a.name'), duck.fold('b.name'))} AS dice FROM n AS a JOIN n AS b ON a.block = b.block AND a.name < b.name")
 def sim_dice_pairs(spark, d):
-    n = table(spark, d, "part").select(F.col("p_brand").alias("block"), F.col("p_name").alias("name")).distinct().withColumn("f", text.fold(F.col("name")))
-    a, b = n.select("block", F.col("name").alias("n1"), F.col("f").alias("f1")), n.select("block", F.col("name").alias("n2"), F.col("f").alias("f2"))
-    return a.join(b, "block").where("n1 < n2").select("block", "n1", "n2", similarity.dice(F.col("f1"), F.col("f2")).alias("dice"))
+    n = table(spark, d, "part").select(F.col("p_brand").alias("block"), F.col("p_name").alias("name")).distinct().withColumn("f", text.fold(F.col("name"))).withColumn("g", similarity.bigram_codes(F.col("f")))
+    a, b = (n.select("block", F.col("name").alias(f"n{k}"), F.col("f").alias(f"f{k}"), F.col("g").alias(f"g{k}")) for k in (1, 2))
+    return a.join(b, "block").where("n1 < n2").select("block", "n1", "n2", similarity.dice_of(F.col("f1"), F.col("f2"), F.col("g1"), F.col("g2")).alias("dice"))
 
 
 @query(f"SELECT p_partkey, {duck.jac(duck.tri('lower(p_name)'), duck.tri('lower(p_type)'))} AS score FROM part")
