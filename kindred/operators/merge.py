@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.session import durable
 from kindred.spec import DISCARDED, EXECUTED, PENDING, REVERTED, EntitySpec, FkRef
 
 MERGEABLE = (PENDING, REVERTED)
@@ -78,11 +79,44 @@ def rename(table: DataFrame, spec: EntitySpec, names: DataFrame) -> tuple[DataFr
 
 
 def restore(child: DataFrame, ref: FkRef, merge_log: DataFrame) -> DataFrame:
-    """child with the values before the merge, from log rows that are not reverted; rows are found by their whole key."""
-    old = merge_log.where(~F.col("revertido") & (F.col("tabela_afetada") == ref.table) & (F.col("coluna_alterada") == ref.column)).groupBy(F.col("registro_afetado_id").alias("_key")).agg(F.min("valor_anterior").alias("_old"))
-    out = child.withColumn("_own", key_of(ref)).join(old, F.col("_own") == F.col("_key"), "left")
+    """child with the values before the merge, from log rows that are not reverted; of several for one row the oldest counts (data_execucao, where the log has it).
+
+    Rows are found by their whole key. If the column is part of the key, the key has changed with it: then rows are
+    found by the key after the merge, as many of those that have become alike as the log names.
+    """
+    mine = merge_log.where(~F.col("revertido") & (F.col("tabela_afetada") == ref.table) & (F.col("coluna_alterada") == ref.column))
+    at = F.col("data_execucao") if "data_execucao" in merge_log.columns else F.lit(None).cast("timestamp")
     kind = child.schema[ref.column].dataType
-    return out.select(*(F.coalesce(F.col("_old").cast(kind), child[c]).alias(c) if c == ref.column else child[c] for c in child.columns))
+    back = lambda out: out.select(*(F.coalesce(F.col("_old").cast(kind), child[c]).alias(c) if c == ref.column else child[c] for c in child.columns))
+    if ref.column not in ref.key:
+        old = mine.groupBy(F.col("registro_afetado_id").alias("_key")).agg(F.min_by("valor_anterior", F.struct(at.alias("at"), "valor_anterior")).alias("_old"))
+        return back(child.withColumn("_own", key_of(ref)).join(old, F.col("_own") == F.col("_key"), "left"))
+    place = ref.key.index(ref.column)
+    part = lambda k: F.get(F.split("registro_afetado_id", "\\|"), F.lit(k))
+    new = F.concat_ws("|", *(F.col("valor_novo") if k == place else part(k) for k in range(len(ref.key))))
+    # A merge of a merged record moved the row once more: its last key is what the row has now, its first value what it had.
+    number = lambda key, *order: F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    moved = durable(mine.select(new.alias("_key"), F.col("registro_afetado_id").alias("_from"), F.col("valor_anterior").alias("_old"), at.alias("_at"), F.monotonically_increasing_id().alias("_id")))
+    while True:
+        before = moved.withColumn("_n", number("_key", F.desc("_at"), "_id"))
+        after = moved.select(F.col("_from").alias("_key"), F.col("_key").alias("_next"), F.col("_at").alias("_later"), F.col("_id").alias("_used"), number("_from", F.desc("_at"), "_id").alias("_n"))
+        chained = durable(before.join(after, ["_key", "_n"]).where("_later > _at"))
+        if chained.isEmpty():
+            break
+        # One step of each chain at a time: a row that is itself carried on waits for its turn.
+        ends = chained.join(chained.select(F.col("_used").alias("_id")), "_id", "left_anti")
+        spent = ends.select(F.explode(F.array("_id", "_used")).alias("_id")).distinct()
+        moved = durable(moved.join(spent, "_id", "left_anti").unionByName(ends.select(F.col("_next").alias("_key"), "_from", "_old", F.col("_later").alias("_at"), "_id")))
+    old = moved.select("_key", "_old", number("_key", "_old").alias("_n"))
+    return back(child.withColumn("_own", key_of(ref)).withColumn("_k", number("_own", F.lit(0))).join(old, (F.col("_own") == F.col("_key")) & (F.col("_k") == F.col("_n")), "left"))
+
+
+def nested(groups: DataFrame, children: DataFrame, name: str, *order: str) -> DataFrame:
+    """groups with an array of the children of each (by grupo_id), in order; empty if there are none."""
+    facts = F.struct(*order, *(c for c in children.columns if c not in order))
+    lists = children.groupBy(F.col("grupo_id").alias("_g")).agg(F.sort_array(F.collect_list(facts)).alias(name))
+    none = F.array().cast(lists.schema[name].dataType)
+    return groups.join(lists, groups["id"] == F.col("_g"), "left").select(*groups.columns, F.coalesce(F.col(name), none).alias(name))
 
 
 def mark_reverted(merge_log: DataFrame, group_ids: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,18 +68,66 @@ def auto_approvable(groups: DataFrame, least: float = AUTO_APPROVE) -> DataFrame
 
 
 RULES = (
-    "Numerals that differ (I, II, 2) name DIFFERENT places.",
-    "Complements such as Norte, Sul, Leste or Oeste name DIFFERENT places.",
-    "Spelling variants and abbreviations of one place are duplicates.",
-    "Descriptive prefixes may vary.",
+    "A numeral on one name and none, or another, on the other (II, 2, dois, Fase 3) means DIFFERENT places; the same number written in another way does not.",
+    "A member without a numeral is no duplicate of one with a numeral.",
+    "Directions and positions (Norte, Sul, Leste, Oeste, Central, de Cima, de Baixo) mean DIFFERENT places.",
+    "Cities whose names differ by a geographic complement (do Baixio, do Sul, de Minas, da Serra) are DIFFERENT cities, also within one state.",
+    "Districts whose names differ by a sector, block, stage or extension (Setor A, Quadra 3, 2a Etapa, Ampliação) are DIFFERENT districts.",
+    "Different persons in the name of a street mean DIFFERENT streets; a title or an abbreviation (Dr., Cel., Prof.) does not.",
+    "Spelling variants, accents, typing errors and abbreviations (Jd, R., Av., Cond.) of one place are duplicates.",
+    "Descriptive prefixes (Jardim, Edifício, Condomínio, Residencial) may vary or be missing; prefixes that name different kinds of place may not.",
+    "Where names leave it open, the full address decides: the same street, district and city speak for one place, different ones against it.",
+    "Name as valid only the members that are the same place as most of the others; at least two, else the group is no duplicate.",
+    "In doubt, answer that the members are different.",
 )
+_SHAPE = '{"sao_duplicatas": boolean, "confianca": number from 0 to 1, "nome_canonico": string, "justificativa": string, "membros_validos_ids": [string]}'
+
+
+def _members(names: Column, ids: Column) -> Column:
+    return F.array_join(F.transform(F.arrays_zip(names.alias("n"), ids.alias("i")), lambda m, k: F.concat(F.lit("  "), (k + 1).cast("string"), F.lit('. "'), m["n"], F.lit('" (ID: '), m["i"].cast("string"), F.lit(")"))), "\n")
+
+
+def _where(context: Column | None) -> Column:
+    return F.lit("") if context is None else F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit("\nContexto geográfico: "), context)).otherwise(F.lit(""))
 
 
 def prompt(kind: Column, names: Column, ids: Column, context: Column | None = None) -> Column:
     """The question for a validator: kind, context, numbered members and the rules."""
-    members = F.transform(F.arrays_zip(names.alias("n"), ids.alias("i")), lambda m, k: F.concat(F.lit("  "), (k + 1).cast("string"), F.lit('. "'), m["n"], F.lit('" (ID: '), m["i"].cast("string"), F.lit(")")))
-    where = F.lit("") if context is None else F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit("\nContexto geográfico: "), context)).otherwise(F.lit(""))
-    return F.concat(F.lit("Are these names of type "), kind, F.lit(" one place or several?"), where, F.lit("\n"), F.array_join(members, "\n"), F.lit("\n" + "\n".join(RULES)))
+    return F.concat(F.lit("Are these names of type "), kind, F.lit(" one place or several?"), _where(context), F.lit("\n"), _members(names, ids), F.lit("\n" + "\n".join(RULES)))
+
+
+def prompt_batch(groups: DataFrame) -> DataFrame:
+    """(batch_id, prompt): one question for the groups of a batch, by their numbers. groups: (batch_id, n from 1, kind, names, ids, context)."""
+    one = F.concat(F.lit("Group "), F.col("n").cast("string"), F.lit(", type "), F.col("kind"), F.lit(":"), _where(F.col("context")), F.lit("\n"), _members(F.col("names"), F.col("ids")))
+    lists = groups.select("batch_id", F.struct("n", one.alias("q")).alias("q")).groupBy("batch_id").agg(F.sort_array(F.collect_list("q")).alias("q"))
+    head, tail = "Are the names of each group one place or several?\n", "\n" + "\n".join(RULES) + '\nAnswer with {"grupos": [{"grupo": number of the group, ' + _SHAPE[1:] + "]}"
+    return lists.select("batch_id", F.concat(F.lit(head), F.array_join("q.q", "\n"), F.lit(tail)).alias("prompt"))
+
+
+def prompt_pair(kind: Column, name_a: Column, name_b: Column, parent: Column) -> Column:
+    """The question about two names."""
+    return F.concat(F.lit("Are these two names of type "), kind, F.lit(" one place?"), _where(parent), F.lit('\n  A. "'), name_a, F.lit('"\n  B. "'), name_b, F.lit('"\n' + "\n".join(RULES) + "\nAnswer with " + _SHAPE.replace(', "membros_validos_ids": [string]', "")))
+
+
+_ASKED = "group_id string, verdict struct<dup:boolean,confidence:double,name:string,why:string,valid_ids:array<string>>"
+
+
+def ask(groups: DataFrame, validator: Callable[[list[dict]], list[dict | None]], labels: dict[int, str], size: int = 10) -> DataFrame:
+    """(group_id, verdict) of what the validator says to groups, so many at a time, where they are. Ids that are not the group's go; None leaves a group without a verdict.
+
+    groups: (group_id, tipo_entidade, registro_ids, nomes_membros, context).
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [{"group_id": r.group_id, "kind": labels.get(r.tipo_entidade, "Desconhecido"), "names": list(r.nomes_membros), "ids": list(r.registro_ids), "context": r.context} for r in pdf.itertuples()]
+            for at in range(0, len(rows), size):
+                part = rows[at : at + size]
+                said = [(g, v) for g, v in zip(part, validator(part)) if v is not None]
+                if said:
+                    yield pd.DataFrame({"group_id": [g["group_id"] for g, _ in said], "verdict": [v | {"valid_ids": [i for i in v["valid_ids"] if i in g["ids"]]} for g, v in said]})
+
+    return groups.select("group_id", "tipo_entidade", "registro_ids", "nomes_membros", "context").mapInPandas(run, _ASKED)
 
 
 def context_text(street: Column, district: Column, city: Column, state: Column) -> Column:

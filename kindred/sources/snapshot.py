@@ -1,7 +1,9 @@
 """Atomic multi-table commits on plain files.
 
 A commit writes changed tables to new folders and then one manifest that names the folder of every table. The manifest appears
-by a rename that fails if it exists, so readers see all of a commit or nothing, and of two writers one is refused.
+by a rename that fails if it exists, so readers see all of a commit or nothing. A writer names the version that it has read; of
+two that read the same one, the second is refused. That the rename is atomic holds for HDFS and local file systems; an object
+store needs a file system with conditional creation in its place.
 """
 
 from __future__ import annotations
@@ -46,8 +48,8 @@ class Snapshots:
     def read(self, table: str, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self.manifest(version)[table]}")
 
-    def has(self, table: str) -> bool:
-        return table in self.manifest()
+    def has(self, table: str, version: int | None = None) -> bool:
+        return table in self.manifest(version)
 
     def commit(self, tables: Mapping[str, DataFrame], base: int | None = None) -> int:
         """Write tables on top of a version, the newest by default; the others stay as they are there."""
