@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import similarity, text
 from kindred.operators import cluster, context, detect, impact, merge, resolve, verdict
-from kindred.plans import duck, reports, service
+from kindred.plans import duck, places, reports, service
 from kindred.spec import CUSTOMER, NATION, PART, SUPPLIER, EntitySpec, short_numerals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -391,6 +391,6 @@ def cascade_coalesce(spark, d):
     return resolve.cascade(part.select(F.col("p_partkey").alias("group_id")), first, second).select("group_id", F.col("official.name").alias("name"), F.col("official.source").alias("source"))
 
 
-for _name, (_query, _sql) in (reports.catalogue() | service.catalogue()).items():
+for _name, (_query, _sql) in (reports.catalogue() | service.catalogue() | places.catalogue()).items():
     _QUERIES[_name] = _query
     _SQL[_name] = _sql
