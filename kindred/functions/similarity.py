@@ -39,13 +39,10 @@ def bigrams(c: Column) -> Column:
 
 def bigram_codes(c: Column) -> Column:
     """The multiset of bigrams as a set: the number of each and which occurrence it is, so that shared occurrences are what two sets share."""
-    return _tagged(F.transform(bigrams(c), code))
-
-
-def _tagged(x: Column) -> Column:
-    # Sorted, equal numbers stand together; the place within them is the distance from their first.
-    s = F.sort_array(x)
-    return F.transform(s, lambda v, i: v + (i + 1 - F.array_position(s, v)))
+    # Sorted, equal numbers stand together; the place within them is the distance from their first. The one-element array
+    # binds the sorted numbers to a name, so that they are made once and not for every element.
+    tag = lambda s: F.transform(s, lambda v, i: v + (i + 1 - F.array_position(s, v)))
+    return F.transform(F.array(F.sort_array(F.transform(bigrams(c), code))), tag)[0]
 
 
 def dice_of(a: Column, b: Column, x: Column, y: Column) -> Column:
