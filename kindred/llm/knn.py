@@ -119,7 +119,7 @@ def knn_join(vectors: DataFrame, k: int = K, group_rows: int | None = None) -> D
         return spark.createDataFrame([], SCHEMA)
     rows = durable(rows.mapInArrow(_packed, "vec_id long, v binary"))
     n = rows.count()
-    wanted = min(PIVOTS, max(1, math.isqrt(n) // 2))
+    wanted = min(PIVOTS, max(1, 2 * math.isqrt(n)))
     pivots = np.unique(matrix([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()], dim), axis=0)
     shared = spark.sparkContext.broadcast(pivots)
 
