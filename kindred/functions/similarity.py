@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,12 +39,16 @@ def bigrams(c: Column) -> Column:
     return F.when(F.length(c) >= 2, F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), value being made once however often f names it: as the element of an array."""
+    return F.transform(F.array(value), f)[0]
+
+
 def bigram_codes(c: Column) -> Column:
     """The multiset of bigrams as a set: the number of each and which occurrence it is, so that shared occurrences are what two sets share."""
-    # Sorted, equal numbers stand together; the place within them is the distance from their first. The one-element array
-    # binds the sorted numbers to a name, so that they are made once and not for every element.
+    # Sorted, equal numbers stand together; the place within them is the distance from their first.
     tag = lambda s: F.transform(s, lambda v, i: v + (i + 1 - F.array_position(s, v)))
-    return F.transform(F.array(F.sort_array(F.transform(bigrams(c), code))), tag)[0]
+    return bound(c, lambda t: bound(F.sort_array(F.transform(bigrams(t), code)), tag))
 
 
 def dice_of(a: Column, b: Column, x: Column, y: Column) -> Column:
@@ -52,4 +58,4 @@ def dice_of(a: Column, b: Column, x: Column, y: Column) -> Column:
 
 def dice(a: Column, b: Column) -> Column:
     """Dice coefficient of the bigram multisets, for a single pair; where a text meets many others, make bigram_codes once and use dice_of."""
-    return dice_of(a, b, bigram_codes(a), bigram_codes(b))
+    return bound(F.struct(a.alias("a"), b.alias("b")), lambda t: dice_of(t["a"], t["b"], bigram_codes(t["a"]), bigram_codes(t["b"])))
