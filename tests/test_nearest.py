@@ -16,6 +16,7 @@ def test_nearest_equals_all_pairs(spark, tiles, grams, cells):
     left += [("x", 10**6, [77]), ("alone", 10**6 + 1, [1])]  # without a shared gram, and without a right set in the block
     rng.shuffle(right)
     frames = [spark.createDataFrame(rows, "block string, id long, g array<long>") for rows in (left, right)]
+    frames[1] = frames[1].withColumn("near", F.col("g").cast("string"))
     got = {r["id"]: (r["best"], r["score"]) for r in nearest.nearest(*frames, tiles, grams, cells).collect()}
     want = {}
     for b, k, g in left:
